@@ -25,6 +25,8 @@ import regex
 END = "\n"
 #: str.split() takes these for white space, the tokenizer's pattern does not.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
+#: Marks that follow a word as one token's text, and never begin a contraction.
+MARKS = ".,;:!?%&*$#)\"|-"
 SPACE = regex.compile(r"[\t-\r \x85\p{Z}]+")
 
 
@@ -42,18 +44,22 @@ def byte_letters() -> list[str]:
     return out
 
 
-class _Chunks(dict):
-    """Encoded pieces of text; emptied when full, so that memory stays bounded."""
+class _Recent(dict):
+    """Results by key, in two generations: when the younger is full, it becomes the older one. So
+    memory is bounded, and what recurs stays."""
 
     def __init__(self, make, limit: int):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.older = make, limit, {}
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        value = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= 64:
+            if len(self) >= self.limit:
+                self.older = dict(self)
+                self.clear()
             self[key] = value
         return value
 
@@ -61,7 +67,7 @@ class _Chunks(dict):
 class WordBpe:
     """A tokenizer file of the kind "BPE with word ends", read once for each Python worker."""
 
-    def __init__(self, path: str, cached: int = 400_000):
+    def __init__(self, path: str, cached: int = 300_000):
         spec = json.load(open(path, encoding="utf-8"))
         vocab: dict[str, int] = spec["model"]["vocab"]
         suffix = spec["model"]["end_of_word_suffix"]
@@ -93,75 +99,85 @@ class WordBpe:
                     break
         automaton.make_automaton()
         self.automaton = automaton
-        # merges in order of rank; the made token and the rank are kept for each pair
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        # what merging two tokens makes, each token's two parts, and when it is made (0: a letter)
+        self.made: dict[int, int] = {}
+        self.order = [0] * size
+        self.left, self.right = list(range(size)), list(range(size))
         for rank, pair in enumerate(spec["model"]["merges"]):
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
-        self.text = {i: s for s, i in inner.items()}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.words = _Chunks(lambda word: struct.pack(f"<{len(ids := self.encode_word(word))}I", *ids), cached)
-        self.chunks = _Chunks(self._chunk, cached)
-
-    def merged(self, text: str) -> list[int]:
-        """Plain byte-pair merging, for the compatibility table only."""
-        inner = self.inner
-        ids = [inner[c] for c in (text[:-2] if text.endswith(END) else text)]
-        if text.endswith(END):
-            ids.append(inner[text[-2:]])
-        while len(ids) > 1:
-            best = min((self.merges.get(p, (1 << 30, 0)) for p in zip(ids, ids[1:])), default=None)
-            if best[0] == 1 << 30:
-                break
-            out, i = [], 0
-            while i < len(ids):
-                if i + 1 < len(ids) and self.merges.get((ids[i], ids[i + 1])) == best:
-                    out.append(best[1])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
-        return ids
+            x, y = pair if isinstance(pair, list) else pair.split(" ")
+            token = vocab[x + y]
+            self.made[vocab[x] << 20 | vocab[y]] = token
+            self.order[token], self.left[token], self.right[token] = rank + 1, vocab[x], vocab[y]
+        # tokens that merging makes of their own text; the parts of a token come before it
+        self.whole = [False] * size
+        for token in sorted(vocab.values(), key=self.order.__getitem__):
+            x, y, n = self.left[token], self.right[token], self.order[token]
+            self.whole[token] = n == 0 or self.whole[x] and self.whole[y] and self.apart(x, y, n)
+        self.pairs: dict[int, bool] = {}
+        self.words = _Recent(lambda word: struct.pack(f"<{len(ids := self.encode_word(word))}I", *ids), cached)
+        self.chunks = _Recent(self._chunk, cached)
+
+    def apart(self, a: int, b: int, limit: int) -> bool:
+        """Whether no merge joins a and b, or parts of them that meet, before step ``limit``.
+
+        The merges are undone from the last one on; at each state the two tokens that meet must
+        not be merged earlier than the step that has taken one of them away.
+        """
+        made, order = self.made, self.order
+        while True:
+            token = made.get(a << 20 | b)
+            if token is not None and order[token] < limit:
+                return False
+            if order[a] > order[b]:
+                limit, a = order[a], self.right[a]
+            elif order[b]:
+                # equal steps go from left to right, so the same step may still take b's letters
+                limit, b = order[b] + 1, self.left[b]
+            else:
+                return True
 
     def compatible(self, a: int, b: int) -> bool:
-        """Whether merging leaves the text of a and b as just these tokens (a < 0: b at a word's start)."""
+        """Whether merging leaves the text of a and b as just these tokens."""
         if len(self.pairs) > 500_000:
             self.pairs.clear()
-        ok = self.pairs[a, b] = self.merged(self.text.get(a, "") + self.text[b]) == ([b] if a < 0 else [a, b])
+        ok = self.pairs[a << 20 | b] = self.whole[b] and self.apart(a, b, 1 << 30)
         return ok
 
     def encode_word(self, word: str) -> tuple[int, ...]:
         """Ids of one word that the pre-tokenizer has cut, in mapped letters without the word end."""
         ended = word + END
-        whole = self.inner.get(ended)
-        if whole is not None and (self.pairs.get((-1, whole)) or self.compatible(-1, whole)):
-            return (whole,)
-        n, length, shorter, pairs = len(ended), self.length, self.shorter, self.pairs
+        token = self.inner.get(ended)
+        if token is not None and self.whole[token]:
+            return (token,)
+        n, length, shorter, pairs, whole = len(ended), self.length, self.shorter, self.pairs, self.whole
         longest = [-1] * n
         last_letter = n - 2
         for end, token in self.automaton.iter(ended):
             if end != last_letter:  # a token without the word end can't hold the last letter
                 longest[end - length[token] + 1] = token
         out: list[int] = []
-        at, token, dead = 0, longest[0], set()
+        at, token, dead, before = 0, longest[0], set(), -1
         while at < n:
-            before = out[-1] if out else -1
             while token >= 0:
                 end = at + length[token]
                 if end not in dead and end != n - 1:
-                    ok = pairs.get((before, token))
-                    if ok or ok is None and self.compatible(before, token):
-                        break
+                    if before < 0:
+                        if whole[token]:
+                            break
+                    else:
+                        ok = pairs.get(before << 20 | token)
+                        if ok or ok is None and self.compatible(before, token):
+                            break
                 token = shorter[token]
             if token >= 0:
                 out.append(token)
-                at = end
+                before, at = token, end
                 token = longest[at] if at < n else -1
             else:
                 dead.add(at)
                 token = out.pop()
                 at -= length[token]
+                before = out[-1] if out else -1
         return tuple(out)
 
     def _chunk(self, chunk: str) -> bytes:
@@ -170,8 +186,9 @@ class WordBpe:
             s = chunk.lower()
             if s.isalpha():
                 return self.words[s]
-            if s[-1] in ".,;:!?" and s[:-1].isalpha():
-                return self.words[s[:-1]] + self.words[s[-1]]
+            core = s.rstrip(MARKS)
+            if core.isalpha():
+                return self.words[core] + self.words[s[len(core) :]]
             if s.isprintable():
                 return b"".join(map(self.words.__getitem__, self.pattern.findall(s)))
         else:
