@@ -14,8 +14,8 @@ bounded size; no merge rule reaches across white space.
 from __future__ import annotations
 
 import json
-import struct
 import unicodedata
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -67,7 +67,7 @@ class _Recent(dict):
 class WordBpe:
     """A tokenizer file of the kind "BPE with word ends", read once for each Python worker."""
 
-    def __init__(self, path: str, cached: int = 300_000):
+    def __init__(self, path: str, cached: int = 500_000):
         spec = json.load(open(path, encoding="utf-8"))
         vocab: dict[str, int] = spec["model"]["vocab"]
         suffix = spec["model"]["end_of_word_suffix"]
@@ -113,8 +113,8 @@ class WordBpe:
         for token in sorted(vocab.values(), key=self.order.__getitem__):
             x, y, n = self.left[token], self.right[token], self.order[token]
             self.whole[token] = n == 0 or self.whole[x] and self.whole[y] and self.apart(x, y, n)
-        self.pairs: dict[int, bool] = {}
-        self.words = _Recent(lambda word: struct.pack(f"<{len(ids := self.encode_word(word))}I", *ids), cached)
+        #: by the first token: whether it and the second are compatible
+        self.pairs: list[dict[int, bool]] = [{} for _ in range(size)]
         self.chunks = _Recent(self._chunk, cached)
 
     def apart(self, a: int, b: int, limit: int) -> bool:
@@ -138,17 +138,18 @@ class WordBpe:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging leaves the text of a and b as just these tokens."""
-        if len(self.pairs) > 500_000:
-            self.pairs.clear()
-        ok = self.pairs[a << 20 | b] = self.whole[b] and self.apart(a, b, 1 << 30)
+        row = self.pairs[a]
+        if len(row) > 5000:
+            row.clear()
+        ok = row[b] = self.whole[b] and self.apart(a, b, 1 << 30)
         return ok
 
-    def encode_word(self, word: str) -> tuple[int, ...]:
+    def encode_word(self, word: str) -> list[int]:
         """Ids of one word that the pre-tokenizer has cut, in mapped letters without the word end."""
         ended = word + END
         token = self.inner.get(ended)
         if token is not None and self.whole[token]:
-            return (token,)
+            return [token]
         n, length, shorter, pairs, whole = len(ended), self.length, self.shorter, self.pairs, self.whole
         longest = [-1] * n
         last_letter = n - 2
@@ -156,49 +157,53 @@ class WordBpe:
             if end != last_letter:  # a token without the word end can't hold the last letter
                 longest[end - length[token] + 1] = token
         out: list[int] = []
-        at, token, dead, before = 0, longest[0], set(), -1
+        at, token, dead, before, row = 0, longest[0], set(), -1, None
         while at < n:
             while token >= 0:
                 end = at + length[token]
                 if end not in dead and end != n - 1:
-                    if before < 0:
+                    if row is None:
                         if whole[token]:
                             break
                     else:
-                        ok = pairs.get(before << 20 | token)
+                        ok = row.get(token)
                         if ok or ok is None and self.compatible(before, token):
                             break
                 token = shorter[token]
             if token >= 0:
                 out.append(token)
-                before, at = token, end
+                before, at, row = token, end, pairs[token]
                 token = longest[at] if at < n else -1
             else:
                 dead.add(at)
                 token = out.pop()
                 at -= length[token]
                 before = out[-1] if out else -1
-        return tuple(out)
+                row = pairs[before] if out else None
+        return out
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a piece of text, as little-endian unsigned 32-bit numbers."""
         if chunk.isascii():
             s = chunk.lower()
-            if s.isalpha():
-                return self.words[s]
             core = s.rstrip(MARKS)
-            if core.isalpha():
-                return self.words[core] + self.words[s[len(core) :]]
+            if core.isalpha():  # a word, or a word and marks
+                if len(core) < len(s):
+                    return self.chunks[core] + self.chunks[s[len(core) :]]
+                return array("I", self.encode_word(s)).tobytes() if s == chunk else self.chunks[s]
             if s.isprintable():
-                return b"".join(map(self.words.__getitem__, self.pattern.findall(s)))
+                return b"".join([array("I", self.encode_word(word)).tobytes() for word in self.pattern.findall(s)])
         else:
             s = unicodedata.normalize("NFC", chunk)
             s = s.replace("Σ", "σ").lower()  # letter by letter: no final sigma
-        return b"".join([self.words[self._mapped(word)] for word in self.pattern.findall(s)])
+            core = s.rstrip(MARKS)
+            if core.isalpha():
+                ids = array("I", self.encode_word(self._mapped(core))).tobytes() if core == chunk else self.chunks[core]
+                return ids + self.chunks[s[len(core) :]] if len(core) < len(s) else ids
+        return b"".join([array("I", self.encode_word(self._mapped(word))).tobytes() for word in self.pattern.findall(s)])
 
     def _mapped(self, word: str) -> str:
-        letters = self.letters
-        return "".join([letters[b] for b in word.encode()])
+        return word.encode().decode("latin-1").translate(self.letters)
 
     def encode_bytes(self, text: str) -> bytes:
         """Ids of a whole text, as little-endian unsigned 32-bit numbers."""
