@@ -189,7 +189,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col: st
             x = np.array([features(t) for t in b["text_"]]).reshape(-1, len(FEATURES))
             yield pd.DataFrame({"doc_id": b["doc_id"], "quality_": b["quality_"], "x_": list(x)})
 
-    rows = docs.select("doc_id", F.col(text_col).alias("text_")).join(known, "doc_id").mapInPandas(run, "doc_id long, quality_ int, x_ array<double>").collect()
+    # the sample has a fixed bound, so it is sent to the texts and not the other way round
+    rows = docs.select("doc_id", F.col(text_col).alias("text_")).join(F.broadcast(known), "doc_id").mapInPandas(run, "doc_id long, quality_ int, x_ array<double>").collect()
     rows = sorted((r["doc_id"], r["quality_"], r["x_"]) for r in rows)
     return fit(np.array([r[2] for r in rows]).reshape(-1, len(FEATURES)), np.array([r[1] for r in rows], float))
 
