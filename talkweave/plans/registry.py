@@ -44,3 +44,6 @@ def oracle_sql() -> dict[str, str]:
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ENTRIES["L5_code_mixing"].run(spark, sf_dir)
+
+
+from talkweave.plans import intervallic, relational, textual  # noqa: E402, F401
