@@ -91,6 +91,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shielded(df: DataFrame, needed: tuple[str, ...]):
+    """df with its other columns under names that clash with nothing, and a function that gives a
+    result its columns back in the old order and under the old names."""
+    from pyspark.sql import functions as F
+
+    names = {c: c if c in needed else f"extra_{i}__" for i, c in enumerate(df.columns)}
+    hidden = df.select(*[F.col("`" + c.replace("`", "``") + "`").alias(names[c]) for c in df.columns])
+    return hidden, lambda out: out.select(*[F.col(names[c]).alias(c) for c in df.columns])
+
+
 def open_fs(uri: str):
     """The Arrow file system of a URI, and the path in it."""
     from pyarrow import fs

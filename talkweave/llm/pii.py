@@ -19,7 +19,7 @@ from math import exp, log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkweave.llm.common import written
+from talkweave.llm.common import shielded, written
 
 LOCAL = r"[A-Za-z0-9._%+-]"
 #: The kinds with a fixed definition, in the order of results.
@@ -218,6 +218,7 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     Overlapping spans are replaced as one, by the kind that begins first.
     """
+    docs, back = shielded(docs, ("text", "n_chars"))
     decided = accepted(counted(candidates(docs.select("text"))))
     spans = F.array_sort(F.transform(kept_spans(decided), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
     text = F.coalesce("text", F.lit(""))
@@ -232,4 +233,4 @@ def redacted(docs: DataFrame) -> DataFrame:
     out = candidates(docs).withColumn("spans_", spans).withColumn("text", F.when(F.size("spans_") > 0, done).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return back(out)

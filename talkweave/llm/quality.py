@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkweave.llm.common import ship
+from talkweave.llm.common import shielded, ship
 
 #: At most so many labelled rows are learnt from (those first by a hash of their id).
 SAMPLE = 20_000
@@ -227,4 +227,5 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 def kept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that the classifier accepts, with their own columns."""
-    return scored(docs, train(docs, labels), docs.columns, "score_").where(F.col("score_") >= threshold).select(*docs.columns)
+    docs, back = shielded(docs, ("doc_id", "text"))
+    return back(scored(docs, train(docs, labels), docs.columns, "score_").where(F.col("score_") >= threshold))

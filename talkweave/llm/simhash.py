@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkweave.llm.common import dropped, ship, written
+from talkweave.llm.common import dropped, shielded, ship, written
 
 BITS = 64
 DISTANCE = 4
@@ -309,8 +309,9 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
 def deduplicated(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """The rows of docs of which one stays for each component: that with the least doc_id (an
     arbitrary one of them where rows share it)."""
+    docs, back = shielded(docs, ("doc_id", "text"))
     prints = written(fingerprints(docs, shingle), "prints")
     best = F.struct(F.col("least_").isNull().alias("none"), F.col("least_").alias("doc_id"), F.col("fp_").alias("fp_"))
     winners = linked(prints, distance).groupBy("root_").agg(F.min(best).alias("best")).select(F.col("best.fp_").alias("fp_"), F.col("best.doc_id").alias("won_"))
     joined = fingerprints(docs, shingle, keep=docs.columns).alias("d").join(winners.alias("w"), (F.col("d.fp_") == F.col("w.fp_")) & F.col("d.doc_id").eqNullSafe(F.col("w.won_")))
-    return joined.select("d.*").dropDuplicates(["fp_", "doc_id"]).select(*docs.columns)
+    return back(joined.select("d.*").dropDuplicates(["fp_", "doc_id"]))
