@@ -7,6 +7,8 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 
+from talkweave.session import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -31,6 +33,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -46,4 +49,4 @@ def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ENTRIES["L5_code_mixing"].run(spark, sf_dir)
 
 
-from talkweave.plans import intervallic, relational, textual  # noqa: E402, F401
+from talkweave.plans import intervallic, relational, sequences, textual  # noqa: E402, F401
