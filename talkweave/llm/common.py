@@ -6,10 +6,11 @@ import contextlib
 import os
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from talkweave.session import ship  # noqa: F401
+
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -69,24 +70,6 @@ def dropped(df: DataFrame) -> None:
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package's code, once for each Spark application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_talkweave_shipped", None) == sc.applicationId:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    fd, target = tempfile.mkstemp(prefix="talkweave-", suffix=".zip")
-    os.close(fd)
-    with zipfile.ZipFile(target, "w") as z:
-        for folder, _, names in os.walk(root):
-            for name in sorted(names):
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.join("talkweave", os.path.relpath(full, root)))
-    sc.addPyFile(target)
-    sc._talkweave_shipped = sc.applicationId
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
