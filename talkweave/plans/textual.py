@@ -160,7 +160,8 @@ NGRAMS = r"""w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[\p{L}\p
 def ngram_model(spark, sf_dir):
     """Trigram counts of two languages with add-one log probabilities."""
     w = load(spark, sf_dir, "documents").where("lang in ('en', 'fr')").select("lang", F.explode(T.words(F.lower("text"))).alias("word"))
-    counts = w.select("lang", F.explode(T.grams(F.col("word"))).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n"))
+    w = w.groupBy("lang", "word").agg(F.count("*").alias("times"))  # words recur, so their trigrams are cut once
+    counts = w.select("lang", "times", F.explode(T.grams(F.col("word"))).alias("gram")).groupBy("lang", "gram").agg(F.sum("times").alias("n"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"), F.count("*").alias("vocabulary"))
     return counts.join(F.broadcast(totals), "lang").select("lang", "gram", "n", F.round(F.log((F.col("n") + 1.0) / (F.col("total") + F.col("vocabulary"))), 6).alias("logp"))
 
