@@ -49,4 +49,4 @@ def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ENTRIES["L5_code_mixing"].run(spark, sf_dir)
 
 
-from talkweave.plans import intervallic, relational, sequences, shared, textual  # noqa: E402, F401
+from talkweave.plans import identity, intervallic, relational, sequences, shared, textual  # noqa: E402, F401
