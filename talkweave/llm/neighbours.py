@@ -25,7 +25,7 @@ PARTS = 16
 #: The share of all lists that a query visits. It sets the recall and is the same at every size.
 SHARE = 0.85
 #: Candidates of a unit that are ranked again, for each query.
-RERANK = 100
+RERANK = 400
 CHUNK = 2048
 BLOCK = 2048
 

@@ -10,7 +10,7 @@ from talkweave.llm.common import table
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to and url of each page's record."""
+    """Length, digest, type and target of each page's record."""
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
