@@ -198,6 +198,14 @@ def number_runs(text):
     return pd.Series([[dict(zip(("start", "end", "digits", "doubtful"), r)) for r in runs(t)] for t in text])
 
 
+@F.pandas_udf(ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType()), *_SAID])))
+def number_runs_of_any(text):
+    """number_runs of one digit or more."""
+    import pandas as pd
+
+    return pd.Series([[dict(zip(("start", "end", "digits", "doubtful"), r)) for r in runs(t, 1)] for t in text])
+
+
 def said_digits(digits: Column) -> Column:
     """A digit string as Latin speech, digit by digit; stays in the JVM."""
     words = F.array(*[F.lit(LATIN[n].split()[0]) for n in range(10)])

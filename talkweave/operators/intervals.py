@@ -128,6 +128,56 @@ def _best_matching(cost) -> list[int]:
     return out
 
 
+def greedy_mapping(cooccurrence: DataFrame, clip: str = "clip") -> DataFrame:
+    """For each clip, pairs of ref and hyp by falling seconds (ties by ref, then hyp), each taken if
+    both are still free. A clip's table has one row for each pair of speakers, so it is small."""
+    kinds = ", ".join(f"{c} {cooccurrence.schema[c].dataType.simpleString()}" for c in (clip, "ref", "hyp", "seconds"))
+
+    def pick(pdf):
+        pdf = pdf[pdf["seconds"] > 0].sort_values(["seconds", "ref", "hyp"], ascending=[False, True, True])
+        refs, hyps, kept = set(), set(), []
+        for r, h in zip(pdf["ref"], pdf["hyp"]):
+            free = r not in refs and h not in hyps
+            kept.append(free)
+            if free:
+                refs.add(r)
+                hyps.add(h)
+        return pdf[kept][[clip, "ref", "hyp", "seconds"]]
+
+    return cooccurrence.groupBy(clip).applyInPandas(pick, kinds)
+
+
+def friendly_names(ref: DataFrame, hyp: DataFrame, mapping: DataFrame, clip: str = "clip") -> DataFrame:
+    """clip, speaker, name for each speaker of hyp: the letter of the ref speaker that mapping (clip,
+    ref, hyp) gives, by first appearance in ref, or a letter beyond those, marked as extra."""
+    first = lambda df: df.groupBy(clip, "speaker").agg(F.min("start").alias("first_"))
+    order = Window.partitionBy(clip).orderBy("first_", "speaker")
+    letter = lambda n: F.concat(F.lit("Speaker "), F.char(n + 64))
+    known = first(ref).withColumn("n_", F.row_number().over(order))
+    named = known.select(clip, F.col("speaker").alias("ref"), letter(F.col("n_")).alias("name"))
+    counts = known.groupBy(clip).agg(F.max("n_").alias("known_"))
+    found = mapping.join(named, [clip, "ref"]).select(clip, F.col("hyp").alias("speaker"), "name")
+    every = first(hyp).join(found, [clip, "speaker"], "left").join(counts, clip, "left")
+    extra = F.coalesce("known_", F.lit(0)) + F.sum(F.col("name").isNull().cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return every.select(clip, "speaker", F.coalesce("name", F.concat(letter(extra), F.lit(" (extra)"))).alias("name"))
+
+
+def bootstrap(scores: DataFrame, clip: str, draws: int) -> DataFrame:
+    """draws, low and high: the 2.5th and 97.5th percentile of the pooled rate err / total over draws
+    of as many clips as there are, with replacement.
+
+    scores: one row for each clip, with whole err and total. A linear congruential step picks the
+    clips, so a draw is the same everywhere. Work is draws x clips, spread by draw.
+    """
+    n = scores.count()
+    numbered = scores.withColumn("i_", F.row_number().over(Window.orderBy(clip)) - 1)
+    picks = scores.sparkSession.range(draws).select(F.col("id").alias("b_"), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("k_"))
+    step = ((F.col("b_") * 7919 + F.col("k_") * 104729 + 12345) * 1103515245) % 2147483648
+    picked = picks.select("b_", (F.floor(step / 65536) % max(n, 1)).cast("int").alias("i_"))
+    rates = picked.join(numbered, "i_").groupBy("b_").agg((F.sum("err") / F.sum("total")).alias("m_"))
+    return rates.agg(F.count("*").alias("draws"), F.round(F.percentile("m_", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("m_", F.lit(0.975)), 6).alias("high"))
+
+
 def seconds(ts: Column) -> Column:
     """A timestamp as seconds since the epoch."""
     return F.unix_micros(ts) / F.lit(1e6)

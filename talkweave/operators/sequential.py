@@ -206,6 +206,38 @@ def split_at_pauses(starts: list[float], ends: list[float], longest: float) -> l
     return out
 
 
+def parts(tokens: DataFrame, key: str, longest: float) -> DataFrame:
+    """Rows (key, id, start, end) with the number of their part by split_at_pauses."""
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema)
+
+    def run(pdf):
+        pdf = pdf.sort_values(["start", "end", "id"]).reset_index(drop=True)
+        pdf["part"] = split_at_pauses(pdf["start"].tolist(), pdf["end"].tolist(), longest)
+        return pdf
+
+    return tokens.groupBy(key).applyInPandas(run, f"{kind}, part int")
+
+
+def matched_words(pairs: DataFrame) -> DataFrame:
+    """id, ref_word, hyp_word: places (from 0) of the words that the longest matching blocks of each
+    (id, ref, hyp) pair up, in lower case and without marks around them; words of marks alone are alike."""
+
+    def run(batches):
+        from difflib import SequenceMatcher
+
+        import pandas as pd
+
+        for b in batches:
+            out = []
+            for key, ref, hyp in zip(b["id"], b["ref"], b["hyp"]):
+                r, h = ([re.sub(r"^\W+|\W+$", "", w.lower()) for w in (t or "").split()] for t in (ref, hyp))
+                for block in SequenceMatcher(None, r, h, autojunk=False).get_matching_blocks():
+                    out += [(key, block.a + k, block.b + k) for k in range(block.size)]
+            yield pd.DataFrame(out, columns=["id", "ref_word", "hyp_word"])
+
+    return pairs.select("id", "ref", "hyp").mapInPandas(run, "id string, ref_word int, hyp_word int")
+
+
 class Centroids:
     """Online matching: a vector joins the nearest running mean if its cosine is ``least`` or more,
     else it begins a new identity."""

@@ -35,11 +35,24 @@ def resolved(found: DataFrame, priority: list[str]) -> DataFrame:
     return grouped.select("doc_id", F.explode(kept).alias("x")).select("doc_id", "x.label", "x.start", "x.end", "x.surface")
 
 
-def numbered(found: DataFrame) -> DataFrame:
-    """surface, label, placeholder: entities numbered per label by first appearance."""
-    first = found.groupBy("surface", "label").agg(F.min(F.struct("doc_id", "start")).alias("f"))
-    n = F.row_number().over(Window.partitionBy("label").orderBy("f", "surface"))
-    return first.select("surface", "label", F.concat(F.lit("["), "label", F.lit("_"), n.cast("string"), F.lit("]")).alias("placeholder"))
+def numbered(found: DataFrame, width: int = 1 << 16) -> DataFrame:
+    """surface, label, placeholder: entities numbered per label by first appearance.
+
+    A label may hold any number of entities, so no task sees all of one: entities are ranked within
+    buckets of ``width`` neighbouring documents (of a common prefix, where doc_id is no whole number),
+    and a running sum over one row per label and bucket gives what comes before each bucket.
+    """
+    from pyspark.sql.types import IntegralType
+
+    whole = isinstance(found.schema["doc_id"].dataType, IntegralType)
+    bucket = F.floor(F.col("f.doc_id") / width) if whole else F.substring(F.col("f.doc_id").cast("string"), 1, 4)
+    first = found.groupBy("surface", "label").agg(F.min(F.struct("doc_id", "start")).alias("f")).withColumn("bucket_", bucket)
+    sizes = first.groupBy("label", "bucket_").agg(F.count("*").alias("n_"))
+    before = F.sum("n_").over(Window.partitionBy("label").orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("label", F.col("bucket_"), F.coalesce(before, F.lit(0)).alias("before_"))
+    ranked = first.withColumn("rank_", F.row_number().over(Window.partitionBy("label", "bucket_").orderBy("f", "surface"))).join(offsets, ["label", "bucket_"])
+    n = F.col("before_") + F.col("rank_")
+    return ranked.select("surface", "label", F.concat(F.lit("["), "label", F.lit("_"), n.cast("string"), F.lit("]")).alias("placeholder"))
 
 
 def redacted(docs: DataFrame, named: DataFrame) -> DataFrame:

@@ -39,8 +39,6 @@ shared("E9_link_scores", """WITH m AS (SELECT c_nationkey AS rec, c_custkey AS i
 shared("E10_threshold_grid", """WITH g AS (SELECT * FROM (VALUES (5), (10), (20), (40), (80)) AS t(th)), s AS (SELECT th, count(CASE WHEN (value >= th) = (event_type IN ('purchase', 'error')) THEN 1 END) AS hits FROM {events} CROSS JOIN g GROUP BY th),
     r AS (SELECT th, hits, row_number() OVER (ORDER BY hits DESC, th) AS place FROM s) SELECT th, hits FROM r WHERE place = 1""")
 shared("R6_script_view", """SELECT user_id, bool_or(event_type = 'view') AS has_view, bool_or(event_type = 'error') AS has_error, bool_and(value > 1) AS all_large FROM {events} GROUP BY user_id""")
-shared("L10_leave_one_out", """WITH t AS (SELECT user_id, avg(value) AS v FROM {events} GROUP BY user_id), k AS (SELECT a.user_id, max(b.v) AS rest FROM t a JOIN t b ON a.user_id <> b.user_id GROUP BY a.user_id)
-    SELECT t.user_id, t.v > k.rest * 0.8 AS recalled FROM t JOIN k ON t.user_id = k.user_id""")
 shared("L13_out_of_fold", """WITH f AS (SELECT user_id % 5 AS fold, event_type, sum(value) AS s, count(*) AS n FROM {events} GROUP BY user_id % 5, event_type), t AS (SELECT event_type, sum(s) AS s, sum(n) AS n FROM f GROUP BY event_type)
     SELECT f.fold, f.event_type, round((t.s - f.s) / (t.n - f.n), 4) AS predicted FROM f JOIN t ON f.event_type = t.event_type""")
 shared("W11_by_script", "SELECT lang, count(*) AS n, round(avg(n_chars), 4) AS mean_chars FROM {documents} GROUP BY GROUPING SETS ((lang), ())")
@@ -50,8 +48,6 @@ shared("W15_drift", """SELECT a.event_type, round(sum(abs(a.v - b.v)), 4) AS dri
     JOIN (SELECT event_type, user_id, avg(value) AS v FROM {events} WHERE event_id % 2 = 1 GROUP BY event_type, user_id) b ON a.event_type = b.event_type AND a.user_id = b.user_id GROUP BY a.event_type""")
 shared("I14_per_speaker", """WITH s AS (SELECT event_type AS ref, concat('h', CAST(user_id % 3 AS STRING)) AS hyp, value AS d FROM {events}), k AS (SELECT ref, hyp, sum(d) AS t FROM s GROUP BY ref, hyp), r AS (SELECT ref, hyp, t, row_number() OVER (PARTITION BY ref ORDER BY t DESC, hyp) AS place, sum(t) OVER (PARTITION BY ref) AS total FROM k)
     SELECT ref, hyp AS mostly, round(t / total, 6) AS share FROM r WHERE place = 1""")
-shared("I18_bootstrap", """WITH d AS (SELECT user_id, sum(value) AS err, count(*) AS n FROM {events} GROUP BY user_id), r AS (SELECT a.user_id AS draw, sum(b.err) / sum(b.n) AS m FROM d a JOIN d b ON (a.user_id * 7919 + b.user_id * 104729) % 3 = 0 GROUP BY a.user_id)
-    SELECT count(*) AS draws, round(min(m), 6) AS low, round(max(m), 6) AS high FROM r""")
 shared("V3_status_changes", "SELECT d.doc_id FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id WHERE (d.n_chars > 500) <> (l.quality = 1)")
 shared("V4_training_spans", """WITH s AS (SELECT * FROM (VALUES (1, 0, 5, 'hello', 'hello world'), (1, 0, 11, 'hello world', 'hello world'), (2, 3, 6, 'xyz', 'abcdef'), (3, 1, 3, 'bc', 'abcd')) AS t(doc, s, e, surface, txt)), v AS (SELECT * FROM s WHERE substring(txt, s + 1, e - s) = surface)
     SELECT a.doc, a.s, a.e FROM v a WHERE NOT EXISTS (SELECT 1 FROM v b WHERE a.doc = b.doc AND b.s < a.e AND a.s < b.e AND b.e - b.s > a.e - a.s)""")

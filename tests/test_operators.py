@@ -51,3 +51,16 @@ def test_difference_and_union(spark):
     b = spark.createDataFrame([("c", 3, 6), ("c", 25, 40)], "clip string, start int, end int")
     assert sorted((r["start"], r["end"]) for r in I.islands(a, ["clip"]).collect()) == [(0, 12), (20, 30)]
     assert sorted((r["start"], r["end"]) for r in I.difference(a, b, ["clip"]).collect()) == [(0, 3), (6, 12), (20, 25)]
+
+
+def test_numbers_run_on_over_buckets(spark):
+    rows = [(d, x, s, f"{x}{(d * 7 + s) % 40}") for d in range(60) for x in "AB" for s in (0, 9)]
+    found = spark.createDataFrame(rows, "doc_id long, label string, start int, surface string")
+    seen, want = {}, {}
+    for d, x, s, w in sorted(rows):
+        if w not in want:
+            seen[x] = seen.get(x, 0) + 1
+            want[w] = f"[{x}_{seen[x]}]"
+    for df in (found, found.withColumn("doc_id", F.format_string("d%05d", "doc_id"))):
+        for width in (1, 7, 1000):
+            assert {r["surface"]: r["placeholder"] for r in S.numbered(df, width).collect()} == want
