@@ -24,6 +24,36 @@ def detected(docs: DataFrame, patterns: dict[str, str]) -> DataFrame:
     return reduce(DataFrame.unionByName, [one(k, p) for k, p in patterns.items()])
 
 
+# Cues before a keyword-anchored identifier; the identifier is the last group, at the end.
+_LINK = r"(?:\s+(?:eka|ekata|is|was|එක)|\s*:)?\s+"
+ANCHORED = (
+    ("ACCOUNT", rf"(?i)\b(?:user\s?name|user\s?id|login(?:\s?id)?){_LINK}([A-Za-z][\w.]{{2,}}\d[\w.]*|[A-Za-z]*[._]\w+)"),
+    ("ADDRESS", rf"(?i)\b(?:postal\s?code|post\s?code|zip(?:\s?code)?){_LINK}(\d{{5}})\b"),
+    ("ACCOUNT", rf"(?i)\b(?:expiry|expiration|expires|exp\.?|valid\s+(?:thru|till|until))(?:\s+date)?{_LINK}((?:0[1-9]|1[0-2])\s?/\s?\d{{2}}(?:\d{{2}})?)\b"),
+)
+# An address that is spelled out.
+_SPELLED = r"(?:[a-z0-9](?:-[a-z0-9])+|[a-z0-9]+)"
+_SPOKEN_PART = rf"{_SPELLED}(?:\s+(?:zero|one|two|three|four|five|six|seven|eight|nine)\b)*"
+SPOKEN_EMAIL = rf"(?i)\b{_SPOKEN_PART}(?:\s+(?:dot|underscore|dash)\s+{_SPOKEN_PART})*\s+at\s+{_SPELLED}(?:\s+dot\s+{_SPELLED})*\s+dot\s+(?:com|lk|net|org|edu|gov|io|co|uk|c-o-m|l-k|n-e-t|o-r-g)\b"
+
+
+def anchored(docs: DataFrame) -> DataFrame:
+    """Identifiers after a cue word, and spelled-out addresses: doc_id, label, start, end, surface,
+    value. Marks at an identifier's end are no part of it."""
+    from talkweave.functions.identifiers import written_email
+
+    cues = {str(k): pattern for k, (_, pattern) in enumerate(ANCHORED)}
+    found = detected(docs, {**cues, "EMAIL": SPOKEN_EMAIL})
+    group, label = F.col("surface"), F.lit("EMAIL")
+    for k, (name, pattern) in enumerate(ANCHORED):
+        mine = F.col("label") == str(k)
+        group = F.when(mine, F.regexp_extract("surface", pattern, 1)).otherwise(group)
+        label = F.when(mine, name).otherwise(label)
+    out = found.select("doc_id", label.alias("label"), (F.col("end") - F.length(group)).alias("start"), F.regexp_replace(group, "[.,;:]+$", "").alias("surface"))
+    value = F.when(F.col("label") == "EMAIL", written_email(F.col("surface"))).otherwise(F.lower("surface"))
+    return out.select("doc_id", "label", "start", (F.col("start") + F.length("surface")).alias("end"), "surface", value.alias("value"))
+
+
 def resolved(found: DataFrame, priority: list[str]) -> DataFrame:
     """Spans that stay if the longest go first (then by label priority, then the earliest) and
     each that overlaps one before it is dropped."""

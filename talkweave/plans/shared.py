@@ -51,7 +51,6 @@ shared("I14_per_speaker", """WITH s AS (SELECT event_type AS ref, concat('h', CA
 shared("V3_status_changes", "SELECT d.doc_id FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id WHERE (d.n_chars > 500) <> (l.quality = 1)")
 shared("V4_training_spans", """WITH s AS (SELECT * FROM (VALUES (1, 0, 5, 'hello', 'hello world'), (1, 0, 11, 'hello world', 'hello world'), (2, 3, 6, 'xyz', 'abcdef'), (3, 1, 3, 'bc', 'abcd')) AS t(doc, s, e, surface, txt)), v AS (SELECT * FROM s WHERE substring(txt, s + 1, e - s) = surface)
     SELECT a.doc, a.s, a.e FROM v a WHERE NOT EXISTS (SELECT 1 FROM v b WHERE a.doc = b.doc AND b.s < a.e AND a.s < b.e AND b.e - b.s > a.e - a.s)""")
-shared("G2_identifiers", """SELECT y, d, sex, concat(CAST(y AS STRING), lpad(CAST(d + CASE WHEN sex = 'F' THEN 500 ELSE 0 END AS STRING), 3, '0'), lpad(CAST((y * 31 + d * 7) % 100000 AS STRING), 5, '0')) AS nic FROM (VALUES (1990, 5, 'F'), (2001, 366, 'M'), (1975, 60, 'F')) AS t(y, d, sex)""")
 shared("M4_insights", """WITH k AS (SELECT user_id, count(CASE WHEN event_type = 'error' THEN 1 END) AS e, count(*) AS n FROM {events} GROUP BY user_id) SELECT user_id, CASE WHEN e * 10 >= n * 3 THEN 'confusion' WHEN n < 5 THEN 'short' ELSE 'fine' END AS insight FROM k""")
 shared("M8_rescored", "SELECT d.doc_id, coalesce(l.quality, -1) AS score FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id")
 shared("M10_subsample", """WITH r AS (SELECT conv_id, row_number() OVER (ORDER BY (conv_id * 7919) % 10007, conv_id) AS place FROM (SELECT DISTINCT conv_id FROM {conversations}) c) SELECT c.conv_id, c.turn, false AS twin FROM {conversations} c JOIN r ON c.conv_id = r.conv_id WHERE place <= 20

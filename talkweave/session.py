@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -25,3 +26,14 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.join("talkweave", os.path.relpath(full, root)))
     sc.addPyFile(target)
     sc._talkweave_shipped = sc.applicationId
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder name where driver and executors can both write: below ``spark.checkpoint.dir``,
+    which a cluster must set; a local session may go without and gets a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="talkweave-")
+    return f"{base.rstrip('/')}/talkweave/{name}-{uuid.uuid4().hex}"

@@ -35,11 +35,11 @@ class Endpointer:
 
     def __init__(self, on: float = 0.5, quiet: int = 18, longest: int = 780, before: int = 8, least: int = 12):
         self.on, self.quiet, self.longest, self.before, self.least = on, quiet, longest, before, least
-        self.open, self.voiced, self.silent, self.closed = None, 0, 0, -1
+        self.open, self.voiced, self.silent, self.closed, self.latest = None, 0, 0, -1, -1
 
     def feed(self, frame: int, p: float):
         """(start, end, reason) of an utterance that this frame closes, or None."""
-        speech = p >= self.on
+        self.latest, speech = frame, p >= self.on
         if self.open is None:
             if not speech:
                 return None
@@ -58,31 +58,71 @@ class Endpointer:
         return out
 
 
-def endpoints(frames: DataFrame, **options) -> DataFrame:
-    """Utterances (session, start, end, reason) of a stream of frames (session, frame, p)."""
+#: After this long without a row a session is over, and its state goes. A query that is to end by
+#: itself (trigger availableNow) takes None instead: Spark keeps waiting for timeouts otherwise.
+IDLE_MS = 10 * 60 * 1000
+
+
+def _timeout(idle_ms: int | None) -> str:
+    return GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
+def endpoints(frames: DataFrame, idle_ms: int | None = IDLE_MS, **options) -> DataFrame:
+    """Utterances (session, start, end, reason) of a stream of frames (session, frame, p). A session
+    that stays idle gives its open utterance out and is forgotten."""
 
     def run(key, batches, state: GroupState):
         import pandas as pd
 
+        if state.hasTimedOut:
+            point = pickle.loads(state.get[0])
+            state.remove()
+            last = point.finish(point.latest)
+            yield pd.DataFrame([(key[0], *x) for x in ([last] if last else [])], columns=["session", "start", "end", "reason"])
+            return
         point = pickle.loads(state.get[0]) if state.exists else Endpointer(**options)
         rows = pd.concat(list(batches)).sort_values("frame")
         found = [x for x in (point.feed(int(f), float(p)) for f, p in zip(rows["frame"], rows["p"])) if x]
         state.update((pickle.dumps(point),))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame([(key[0], *x) for x in found], columns=["session", "start", "end", "reason"])
 
-    return frames.groupBy("session").applyInPandasWithState(run, "session string, start long, end long, reason string", "state binary", "append", GroupStateTimeout.NoTimeout)
+    return frames.groupBy("session").applyInPandasWithState(run, "session string, start long, end long, reason string", "state binary", "append", _timeout(idle_ms))
+
+
+def replayed_endpoints(frames: DataFrame, **options) -> DataFrame:
+    """What endpoints gives, from frames that are all there; an open utterance ends with its session."""
+
+    def run(pdf):
+        import pandas as pd
+
+        pdf, point = pdf.sort_values("frame"), Endpointer(**options)
+        found = [x for x in (point.feed(int(f), float(p)) for f, p in zip(pdf["frame"], pdf["p"])) if x]
+        if last := point.finish(point.latest):
+            found.append(last)
+        return pd.DataFrame([(pdf["session"].iloc[0], *x) for x in found], columns=["session", "start", "end", "reason"])
+
+    return frames.groupBy("session").applyInPandas(run, "session string, start long, end long, reason string")
 
 
-def live_identities(vectors: DataFrame, least: float) -> DataFrame:
-    """(session, seq, identity) of a stream of vectors (session, seq, embedding)."""
+def live_identities(vectors: DataFrame, least: float, idle_ms: int | None = IDLE_MS) -> DataFrame:
+    """(session, seq, identity) of a stream of vectors (session, seq, embedding). A session that
+    stays idle is forgotten."""
 
     def run(key, batches, state: GroupState):
         import pandas as pd
 
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=["session", "seq", "identity"])
+            return
         known = pickle.loads(state.get[0]) if state.exists else Centroids(least)
         rows = pd.concat(list(batches)).sort_values("seq")
         out = [(key[0], int(s), known.match(v)) for s, v in zip(rows["seq"], rows["embedding"])]
         state.update((pickle.dumps(known),))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["session", "seq", "identity"])
 
-    return vectors.groupBy("session").applyInPandasWithState(run, "session string, seq long, identity int", "state binary", "append", GroupStateTimeout.NoTimeout)
+    return vectors.groupBy("session").applyInPandasWithState(run, "session string, seq long, identity int", "state binary", "append", _timeout(idle_ms))

@@ -79,17 +79,37 @@ def test_endpoints_on_a_stream(spark, tmp_path):
     point = live.Endpointer(quiet=10, longest=120)
     want = [x for x in (point.feed(f, q) for _, f, q in rows) if x]
     df = spark.createDataFrame(rows, "session string, frame long, p double").coalesce(1)
-    got = streamed(spark, df, str(tmp_path), "endpoints", lambda s: live.endpoints(s, quiet=10, longest=120))
+    got = streamed(spark, df, str(tmp_path), "endpoints", lambda s: live.endpoints(s, idle_ms=None, quiet=10, longest=120))
     assert sorted(x[1:] for x in got) == sorted(want) and want
     assert all(b - a < 120 for a, b, _ in want)
 
 
+def test_an_idle_session_ends(spark, tmp_path):
+    import time
+
+    df = spark.createDataFrame([("a", f, 1.0) for f in range(30)], "session string, frame long, p double")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    q = live.endpoints(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), idle_ms=500).writeStream.format("memory").queryName("idle").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        until = time.time() + 40
+        while time.time() < until and not spark.table("idle").count():
+            time.sleep(0.3)
+    finally:
+        q.stop()
+    assert [tuple(r) for r in spark.table("idle").collect()] == [("a", 0, 29, "end")]
+
+
+def test_replay_ends_what_is_open(spark):
+    df = spark.createDataFrame([("a", f, 1.0) for f in range(30)], "session string, frame long, p double")
+    assert [tuple(r) for r in live.replayed_endpoints(df).collect()] == [("a", 0, 29, "end")]
+
+
 def test_identities_on_a_stream(spark, tmp_path):
     r = random.Random(1)
     rows = [("s", k, [float(k % 3 == j) + 0.1 * r.random() for j in range(3)]) for k in range(60)]
     df = spark.createDataFrame(rows, "session string, seq long, embedding array<double>").coalesce(1)
     want = sorted(tuple(x) for x in Q.identities(df, "session", "seq", "embedding", 0.7).collect())
-    assert sorted(streamed(spark, df, str(tmp_path), "identities", lambda s: live.live_identities(s, 0.7))) == want
+    assert sorted(streamed(spark, df, str(tmp_path), "identities", lambda s: live.live_identities(s, 0.7, idle_ms=None))) == want
     assert {i for _, _, i in want} == {0, 1, 2} and all(i == k % 3 for _, k, i in want)
 
 
