@@ -69,11 +69,9 @@ def normalized(text: Column) -> Column:
 
 
 def folded(text: Column) -> Column:
-    """Lower case, common digraphs and doubled letters as one."""
-    out = F.lower(text)
-    for a, b in (("th", "t"), ("dh", "d"), ("sh", "s"), ("ph", "p")):
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return F.regexp_replace(F.replace(out, F.lit("w"), F.lit("v")), r"([a-z])\1+", "$1")
+    """Lower case, digraphs with h as their first letter, w as v, and doubled letters (never digits) as one."""
+    out = F.regexp_replace(F.lower(text), "([tdkgpbjcs])h", "$1")
+    return F.regexp_replace(F.replace(out, F.lit("w"), F.lit("v")), r"(\p{L})\1+", "$1")
 
 
 def squashed(text: Column) -> Column:

@@ -279,6 +279,70 @@ def identities(vectors: DataFrame, key: str, order: str, vector: str, least: flo
     return vectors.select(key, order, vector).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, identity int")
 
 
+def key_ratio(a: str, b: str) -> float:
+    """1 - edit distance over the longer length; 0 where either is empty."""
+    if not a or not b:
+        return 0.0
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return 1 - row[-1] / max(len(a), len(b))
+
+
+def key_likeness(a: str, b: str) -> float:
+    """identifiers.key_similarity in Python."""
+    if a + "i" == b or b + "i" == a:  # a man's and a woman's name
+        return 0.5
+    bones = re.sub("[aeiouy]", "", a), re.sub("[aeiouy]", "", b)
+    return max(key_ratio(a, b), key_ratio(*bones) if min(map(len, bones)) >= 3 else 0.0)
+
+
+def address_clusters(mentions: DataFrame, least: float = 0.8) -> DataFrame:
+    """Cluster of each address mention (rid, mention_id, sig: names.signature).
+
+    Fuller addresses go first, then by id. A mention joins the first cluster with the same address,
+    else the only one with an address that it shortens, else begins one. A group is the address
+    mentions of one recording.
+    """
+
+    def found(keys, others):
+        return [any(key_likeness(k, o) >= least for o in others) for k in keys]
+
+    def same(a, b):
+        short, long = sorted((a[1], b[1]), key=len)
+        if a[0] != b[0] or not (short or (a[0] and long)):
+            return False
+        hits = found(short, long)
+        return not short or (any(hits) if a[0] else all(hits))
+
+    def part(a, b):
+        return bool(a[1]) and a[0] <= b[0] and len(a[1]) <= len(b[1]) and all(found(a[1], b[1]))
+
+    def run(pdf):
+        import pandas as pd
+
+        rows = [(m, (frozenset(s["numbers"]), list(s["places"]))) for m, s in zip(pdf["mention_id"], pdf["sig"])]
+        groups, out = [], []
+        for m, sig in sorted(rows, key=lambda r: (-len(r[1][0]) - len(r[1][1]), r[0])):
+            fits = [k for k, g in enumerate(groups) if any(same(sig, x) for x in g)][:1]
+            if not fits:
+                parts_of = [k for k, g in enumerate(groups) if any(part(sig, x) for x in g)]
+                fits = parts_of if len(parts_of) == 1 else []
+            if not fits:
+                groups.append([])
+                fits = [len(groups) - 1]
+            if sig not in groups[fits[0]]:
+                groups[fits[0]].append(sig)
+            out.append((pdf["rid"].iloc[0], m, fits[0]))
+        return pd.DataFrame(out, columns=["rid", "mention_id", "cluster"])
+
+    kinds = {c: mentions.schema[c].dataType.simpleString() for c in ("rid", "mention_id")}
+    return mentions.groupBy("rid").applyInPandas(run, f"rid {kinds['rid']}, mention_id {kinds['mention_id']}, cluster int")
+
+
 def clustered(mentions: DataFrame, least: float = 0.775) -> DataFrame:
     """Cluster of each mention (rid, mention_id, keys: phonetic keys of its name tokens).
 
@@ -287,26 +351,9 @@ def clustered(mentions: DataFrame, least: float = 0.775) -> DataFrame:
     is the least over the shorter name's tokens of their best match in the longer one.
     """
 
-    def ratio(a, b):
-        if not a or not b:
-            return 0.0
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y)))
-            row = new
-        return 1 - row[-1] / max(len(a), len(b))
-
-    def token(a, b):
-        if a + "i" == b or b + "i" == a:  # a man's and a woman's name
-            return 0.5
-        bones = re.sub("[aeiouy]", "", a), re.sub("[aeiouy]", "", b)
-        return max(ratio(a, b), ratio(*bones) if min(map(len, bones)) >= 3 else 0.0)
-
     def mention(a, b):
         short, long = sorted((list(a), list(b)), key=len)
-        return min((max(token(x, y) for y in long) for x in short), default=0.0)
+        return min((max(key_likeness(x, y) for y in long) for x in short), default=0.0)
 
     def run(pdf):
         import pandas as pd

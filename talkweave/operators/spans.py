@@ -54,6 +54,43 @@ def anchored(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "label", "start", (F.col("start") + F.length("surface")).alias("end"), "surface", value.alias("value"))
 
 
+def propagated_names(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Names of each recording wherever they come again, in either script or with a case ending:
+    doc_id, start, end, surface.
+
+    docs: rid, doc_id, text, lower_case (whether names may begin with a small letter); found: rid,
+    doc_id, start, end, surface of known persons, whose own places give no row. A recording's keys,
+    an array as small as its names, meet its tokens in one join; neighbouring tokens become one span.
+    """
+    from talkweave.functions import identifiers as N
+    from talkweave.functions import names as A
+    from talkweave.functions import text as T
+
+    token = F.explode(N.name_tokens(F.col("surface")))
+    keys = found.select("rid", token.alias("t")).select("rid", A.name_key(F.col("t")).alias("key")).where("length(key) >= 4").groupBy("rid").agg(F.collect_set("key").alias("keys"))
+    words = detected(docs, {"WORD": r"[^\s.,;:!?()\[\]\"'’‘/]+"}).join(docs.select("doc_id", "rid", "text", "lower_case"), "doc_id").join(keys, "rid")
+    words = words.where(F.col("lower_case") | ~F.col("surface").rlike(r"^\p{Ll}"))
+    known = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("known"))
+    words = words.join(known, "doc_id", "left").where(F.col("known").isNull() | ~F.exists("known", lambda k: (k["start"] < F.col("end")) & (F.col("start") < k["end"])))
+
+    def close(a, b):
+        whole, bones = T.ratio(a, b), (T.skeleton(a), T.skeleton(b))
+        return (whole >= 0.9) | ((bones[0] == bones[1]) & (F.length(bones[0]) >= 4) & (whole >= 0.6))
+
+    def fits(form):
+        key = A.name_key(form)
+        return (F.length(key) >= 4) & F.exists("keys", lambda k: close(key, k))
+
+    longest = F.array_max(F.transform(F.filter(A.variants(F.lower("surface")), fits), F.length))
+    hits = words.withColumn("n_", longest).where("n_ is not null").select("doc_id", "text", "start", (F.col("start") + F.col("n_")).alias("end"))
+    order = Window.partitionBy("doc_id").orderBy("start")
+    before = F.lag("end").over(order)
+    between = F.substring(F.col("text"), before + 1, F.col("start") - before)
+    hits = hits.withColumn("new_", (before.isNull() | (F.trim(between) != "")).cast("int")).withColumn("run_", F.sum("new_").over(order))
+    spans = hits.groupBy("doc_id", "run_").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("text").alias("text"))
+    return spans.select("doc_id", "start", "end", F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")).alias("surface"))
+
+
 def resolved(found: DataFrame, priority: list[str]) -> DataFrame:
     """Spans that stay if the longest go first (then by label priority, then the earliest) and
     each that overlaps one before it is dropped."""

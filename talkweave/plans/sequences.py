@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from talkweave.functions import identifiers as N
 from talkweave.functions import text as T
 from talkweave.operators import sequential as Q
 from talkweave.plans.registry import load, register
@@ -39,9 +40,30 @@ def strip_diacritics(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", Q.without_diacritics(F.concat("source", F.lit(" éèüñ Åß"))).alias("plain"))
 
 
-@register("T10_fold", "WITH w AS (SELECT DISTINCT c_mktsegment AS w FROM customer) SELECT w, replace(replace(replace(replace(replace(lower(w), 'th', 't'), 'dh', 'd'), 'sh', 's'), 'ph', 'p'), 'w', 'v') AS folded FROM w")
+ONCE = "regexp_replace(" * 26 + "{}" + "".join(f", '{c}+', '{c}', 'g')" for c in "abcdefghijklmnopqrstuvwxyz")
+FOLD = ONCE.format(r"replace(regexp_replace(lower({}), '([tdkgpbjcs])h', '\1', 'g'), 'w', 'v')")
+
+
+@register("T10_fold", f"WITH w AS (SELECT DISTINCT regexp_replace(c_mktsegment || ' ' || c_name, '[0-9]', '', 'g') AS w FROM customer) SELECT w, {FOLD.format('w')} AS folded FROM w")
 def fold(spark, sf_dir):
-    return load(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("w")).distinct().select("w", T.folded(F.col("w")).alias("folded"))
+    w = F.regexp_replace(F.concat_ws(" ", "c_mktsegment", "c_name"), "[0-9]", "")
+    return load(spark, sf_dir, "customer").select(w.alias("w")).distinct().select("w", T.folded(F.col("w")).alias("folded"))
+
+
+SQUASH = r"trim(regexp_replace({}, '[\p{{P}}\p{{S}}\p{{C}}\s]+', ' ', 'g'))"
+
+
+@register("T12_raw", f"SELECT conv_id, turn, {SQUASH.format('lower(text)')} AS plain FROM conversations")
+def raw(spark, sf_dir):
+    """Lower case without punctuation: scripts stay apart."""
+    return load(spark, sf_dir, "conversations").select("conv_id", "turn", T.squashed(F.lower("text")).alias("plain"))
+
+
+@register("T12_scripted", f"SELECT conv_id, turn, {SQUASH.format(FOLD.format('strip_accents(lower(text))'))} AS plain FROM conversations")
+def scripted(spark, sf_dir):
+    """Both scripts as one folded Latin form."""
+    latin = load(spark, sf_dir, "conversations").select("conv_id", "turn", Q.without_diacritics(F.lower(N.romanised(F.col("text")))).alias("t"))
+    return latin.select("conv_id", "turn", T.squashed(T.folded(F.col("t"))).alias("plain"))
 
 
 @register("T25_windows")

@@ -11,6 +11,7 @@ from talkweave.functions import text as T
 from talkweave.operators import intervals as I
 from talkweave.operators import repetition as L
 from talkweave.operators import sequential as Q
+from talkweave.operators import spans as S
 from talkweave.plans.intervallic import SECOND, SEG, hypothesis, segments
 from talkweave.plans.registry import load, register
 
@@ -117,6 +118,22 @@ def addresses(spark, sf_dir):
     return s.select("id", A.same_address(F.col("a"), F.col("b")).alias("same"), A.part_of(F.col("a"), F.col("b")).alias("part"))
 
 
+@register("E7_address_links", "SELECT * FROM (VALUES ('a', 1, 0), ('a', 2, 0), ('a', 3, 1), ('a', 4, 2), ('b', 1, 0), ('b', 2, 0)) v(rid, mention_id, cluster)")
+def address_links(spark, sf_dir):
+    """A shortened mention that fits two addresses stays apart."""
+    rows = [("a", 1, "No. 82/1, Temple Road, Colombo 7"), ("a", 2, "82/1 පන්සල පාර, Colombo 7"), ("a", 3, "14 Lake Road, Colombo 7"), ("a", 4, "Colombo 7"), ("b", 1, "No. 5, Wijerama Road, Nugegoda"), ("b", 2, "Nugegoda")]
+    m = load(spark, sf_dir, "nation").sparkSession.createDataFrame(rows, "rid string, mention_id int, t string").withColumn("said", D.number_runs_of_any(F.lower("t")))
+    return Q.address_clusters(m.select("rid", "mention_id", A.signature(F.col("t"), F.col("said")).alias("sig")))
+
+
+@register("P16_propagate_names", "SELECT * FROM (VALUES (2, 0, 12, 'නිමල් පෙරේරා'), (3, 6, 11, 'nimal')) v(doc_id, \"start\", \"end\", surface)")
+def propagate_names(spark, sf_dir):
+    """A name that was found once, in other documents of the recording: the other script, a case ending, small letters."""
+    docs = [("r", 1, "I am Nimal Perera.", False), ("r", 2, "නිමල් පෙරේරාට කතා කළා", False), ("r", 3, "hello nimal", True), ("r", 4, "hello nimal", False), ("q", 5, "Nimal Perera", True)]
+    d = load(spark, sf_dir, "nation").sparkSession.createDataFrame(docs, "rid string, doc_id int, text string, lower_case boolean")
+    return S.propagated_names(d, spark.createDataFrame([("r", 1, 5, 17, "Nimal Perera")], "rid string, doc_id int, start int, end int, surface string"))
+
+
 @register("W5_matched_words")
 def matched_words(spark, sf_dir):
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
