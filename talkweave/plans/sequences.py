@@ -40,7 +40,7 @@ def strip_diacritics(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", Q.without_diacritics(F.concat("source", F.lit(" éèüñ Åß"))).alias("plain"))
 
 
-ONCE = "regexp_replace(" * 26 + "{}" + "".join(f", '{c}+', '{c}', 'g')" for c in "abcdefghijklmnopqrstuvwxyz")
+ONCE = "regexp_replace(" * 27 + "{}" + "".join(f", '{c}+', '{c}', 'g')" for c in "abcdefghijklmnopqrstuvwxyzß")
 FOLD = ONCE.format(r"replace(regexp_replace(lower({}), '([tdkgpbjcs])h', '\1', 'g'), 'w', 'v')")
 
 
