@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from talkweave.operators import sequential as Q
 from talkweave.operators import spans as S
 from talkweave.plans.registry import load, register
+from talkweave.plans.relational import SPANS, spans
 from talkweave.session import scratch
 from talkweave.sources import readers as R
 from talkweave.streaming import live
@@ -52,6 +53,16 @@ def translations(spark, sf_dir):
     return R.translations(spark, path).select("utt_id", "clean_en")
 
 
+@register("S17_detections", f"WITH {SPANS} SELECT doc_id, label, CAST(s AS INTEGER) AS \"start\", CAST(s + n AS INTEGER) AS \"end\" FROM sp")
+def shareable(spark, sf_dir):
+    """The detections of the shareable output; the texts beside them hold placeholders."""
+    path = scratch(spark, "shareable")
+    found = spans(spark, sf_dir)
+    kept = S.resolved(found, ["EMAIL", "IP", "ACCOUNT"])
+    R.write_shareable(S.redacted(load(spark, sf_dir, "documents"), kept.join(S.numbered(kept), ["surface", "label"])), found, path)
+    return spark.read.schema("doc_id long, label string, start int, end int").json(f"{path}/detections")
+
+
 @register("S18_private_map", "SELECT doc_id, source FROM documents")
 def private_map(spark, sf_dir):
     """What the guarded sink took."""

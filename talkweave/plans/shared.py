@@ -28,7 +28,6 @@ shared("F12_review_flag", "SELECT event_id, event_type <> 'view' OR value < 10 A
 shared("S4_shape_drift", """SELECT id, coalesce(a, b, c) AS text FROM (VALUES (1, 'x', NULL, NULL), (2, NULL, 'y', NULL), (3, NULL, NULL, 'z'), (4, NULL, NULL, NULL)) AS t(id, a, b, c)""")
 shared("S7_gold_rows", "SELECT doc_id, CASE WHEN quality = 1 THEN 'GOOD' ELSE 'BAD' END AS label FROM {labels} WHERE doc_id IS NOT NULL AND quality IS NOT NULL")
 shared("S13_export", """SELECT concat('SPEAKER c', CAST(user_id % 5 AS STRING), ' 1 ', CAST(event_id AS STRING), ' ', CAST(CAST(floor(value) AS BIGINT) AS STRING), ' <NA> <NA> ', event_type, ' <NA> <NA>') AS line FROM {events}""")
-shared("S17_detections", "SELECT doc_id, source, lang, length(text) AS n FROM {documents}")
 shared("S19_release", """SELECT count(*) AS n_turns, count(DISTINCT conv_id) AS n_convs, CAST(sum(length(text)) AS BIGINT) AS n_chars, min(turn) AS first_turn, max(turn) AS last_turn FROM {conversations}""")
 shared("E6_link_dates", """WITH d AS (SELECT * FROM (VALUES ('R', 1, '1990-08-22'), ('R', 2, '????-08-22'), ('R', 3, '????-01-01'), ('S', 4, '1990-08-22'), ('S', 5, '1991-08-22'), ('S', 6, '????-08-22')) AS t(rid, id, v)),
     f AS (SELECT rid, substring(v, 6, 5) AS md, min(v) AS full_v FROM d WHERE v NOT LIKE '?%' GROUP BY rid, substring(v, 6, 5) HAVING count(DISTINCT v) = 1)

@@ -75,3 +75,9 @@ def write_private(df: DataFrame, path: str, allowed: list[str]) -> None:
     if ".." in path.split("/") or not any(path == a or path.startswith(a.rstrip("/") + "/") for a in allowed):
         raise PermissionError(f"{path} is not in a folder for private data")
     df.write.json(path)
+
+
+def write_shareable(redacted: DataFrame, found: DataFrame, path: str) -> None:
+    """Two JSON outputs that may leave: the redacted texts, and where what was found, without its text."""
+    redacted.select("doc_id", "redacted").write.json(f"{path}/redacted")
+    found.select("doc_id", "label", "start", "end").write.json(f"{path}/detections")
