@@ -63,7 +63,7 @@ def features(text: str | None) -> list[float]:
     return [
         np.log1p(len(text)), np.log1p(n), len(raw) / n, float(max(map(len, seen))), kinds[1], kinds[2], kinds[3], kinds[4], kinds[5],
         len(seen) / n, max(seen.values()) / n, sum(map(eq, words, islice(words, 1, None))) / n, sum(seen[w] for w in FUNCTION_WORDS if w in seen) / n,
-        np.log1p(len(lines)), 1 - distinct_lines / max(1, len(lines)), n / max(1, len(lines)), kinds[6], sum(c for w, c in islice(seen.items(), 200) if w[-1].isalpha()) / max(1, sum(islice(seen.values(), 200))),
+        np.log1p(len(lines)), 1 - distinct_lines / max(1, len(lines)), n / max(1, len(lines)), kinds[6], sum(c for w, c in seen.items() if w[-1].isalpha()) / n,
     ]
 
 

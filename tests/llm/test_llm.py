@@ -112,6 +112,13 @@ def test_quality_odd_rows(spark, odd, clash):
     assert quality.kept(clash, labels, 0.0).columns == clash.columns and quality.kept(clash, labels, 0.0).count() == len(ODD)
 
 
+def test_plain_words_count_the_whole_text():
+    opening = " ".join(f"w{k}a" for k in range(300))
+    junk = " ".join(f"{k}#" for k in range(700))
+    at = quality.FEATURES.index("plain_words")
+    assert quality.features(opening)[at] == 1.0 and quality.features(f"{opening} {junk}")[at] == 0.3
+
+
 # 4 and 6: encoding and packing
 
 
