@@ -1,12 +1,15 @@
 """URL filters: fixed rules first, then association rules that FP-growth mines from labelled URLs.
 
 The mined rules are token combinations with a minimum support that imply "block" with a minimum
-confidence; a rule is dropped if one with fewer tokens does as well. They match by an inverted
+confidence; a rule is dropped if one with fewer tokens does as well. Tokens are not capped: what
+cannot change which URLs a rule matches is taken out before the growth. The rules match by an inverted
 index: a rule stands under its rarest token, and only URLs with that token are compared with it.
 """
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,20 +56,23 @@ def ruled(urls: DataFrame, rules=RULES) -> DataFrame:
 
 
 def tokens(url: Column) -> Column:
-    """Distinct tokens of a URL: labels of its host, its last two labels, words of a label that has
-    hyphens, the first part of the path with digits as 0, and names of query parameters."""
+    """Distinct tokens of a URL: all labels of its host, all words of a host that has hyphens, the
+    first folder of the path, all other parts of the path, and the names of all query parameters;
+    digits in the path as 0."""
     labels = F.filter(F.split("host", r"\."), lambda x: x != "")
     words = F.filter(F.split("host", r"[.-]"), lambda x: x != "")
     first = F.regexp_replace(F.regexp_extract("path", r"^/([^/]+)/", 1), "[0-9]+", "0")
+    parts = F.filter(F.split(F.regexp_replace("path", "[0-9]+", "0"), "/"), lambda x: x != "")
     query = F.coalesce(F.regexp_extract(url, r"(?s)^[^#?]*\?([^#]*)", 1), F.lit(""))
     names = F.filter(F.transform(F.split(query, "&"), lambda x: F.substring_index(x, "=", 1)), lambda x: x != "")
     tag = lambda kind, array: F.transform(array, lambda x: F.concat(F.lit(kind), x))
     return F.array_distinct(
         F.concat(
-            tag("host:", F.slice(labels, 1, 6)),
-            tag("word:", F.when(F.instr("host", "-") > 0, F.slice(words, 1, 6)).otherwise(F.array().cast("array<string>"))),
+            tag("host:", labels),
+            tag("word:", F.when(F.instr("host", "-") > 0, words).otherwise(F.array().cast("array<string>"))),
             F.when(first != "", F.array(F.concat(F.lit("path:"), first))).otherwise(F.array().cast("array<string>")),
-            tag("query:", F.slice(names, 1, 4)),
+            tag("part:", F.filter(parts, lambda x, i: (i > 0) | (first == ""))),
+            tag("query:", names),
         )
     )
 
@@ -74,18 +80,29 @@ def tokens(url: Column) -> Column:
 def mined(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """Rules (rule_id, needs, confidence, support) from labelled (tokens, label), label block or allow.
 
-    Rules are as many as the support allows, however many URLs there are.
+    Rules are as many as the support allows, however many URLs there are. A token that is a rule
+    alone is in no longer one, and of tokens that occur in the same rows the rules name the least:
+    neither changes which of these rows the rules match, and long URLs do not multiply the rules.
     """
     from pyspark.ml.fpm import FPGrowth
 
     spark = labelled.sparkSession
     empty = spark.createDataFrame([], "rule_id long, needs array<string>, confidence double, support double")
-    baskets = labelled.where(F.size("tokens") > 0).select(F.concat("tokens", F.array(F.concat(F.lit("="), "label"))).alias("items"))
-    if not baskets.head(1):
+    baskets = labelled.where(F.size("tokens") > 0).select("tokens", "label")
+    n = baskets.count()
+    if not n:
         return empty
+    # a token below the support among the blocked is in no rule
+    rows = baskets.select(F.explode("tokens").alias("token"), (F.col("label") == "block").cast("int").alias("block_"), F.xxhash64(F.array_sort("tokens")).cast("decimal(20,0)").alias("row_"))
+    known = rows.groupBy("token").agg(F.count("*").alias("n_"), F.sum("block_").alias("block_"), F.sum("row_").alias("rows_")).where(F.col("block_") >= ceil(support * n))
+    known = written(known.withColumn("confidence", F.col("block_") / F.col("n_")), "url-tokens")
+    alone = known.where(F.col("confidence") >= confidence).select(F.xxhash64(F.array("token")).alias("rule_id"), F.array("token").alias("needs"), "confidence", (F.col("block_") / n).alias("support"))
+    same = known.where(F.col("confidence") < confidence).groupBy("n_", "block_", "rows_").agg(F.min("token").alias("token"))
+    used = F.broadcast(same.agg(F.collect_list("token").alias("used_")))
+    baskets = baskets.crossJoin(used).select(F.concat(F.array_intersect("tokens", "used_"), F.array(F.concat(F.lit("="), "label"))).alias("items"))
     found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets).associationRules
     block = found.where((F.col("consequent")[0] == "=block") & ~F.exists("antecedent", lambda x: x.startswith("=")))
-    rules = written(block.select(F.xxhash64(F.array_sort("antecedent")).alias("rule_id"), F.array_sort("antecedent").alias("needs"), "confidence", "support"), "url-rules")
+    rules = written(block.select(F.xxhash64(F.array_sort("antecedent")).alias("rule_id"), F.array_sort("antecedent").alias("needs"), "confidence", "support").unionAll(alone), "url-rules")
     # a rule goes if leaving out one token gives a rule that is as sure
     less = rules.select("rule_id", "confidence", F.explode("needs").alias("gone"), "needs").where(F.size("needs") > 1)
     less = less.select("rule_id", "confidence", F.xxhash64(F.array_remove("needs", F.col("gone"))).alias("inner"))

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from talkweave.llm import archives, bpe, html, media, neighbours, packing, pii, quality, simhash, urls, warc
 from talkweave.llm.common import table, tokenizer_path
@@ -94,6 +95,23 @@ def test_mined_rules_by_brute_force(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_tokens_are_not_capped(spark):
+    name = "a.b.c.d.e.f.the-very-best-and-most-trusted-online-casino.example.fr"
+    url = f"https://{name}/x/y7/z.html?" + "&".join(f"q{k}=1" for k in range(9))
+    df = spark.createDataFrame([(url,)], "url string").withColumns({"host": urls.host(F.col("url")), "path": urls.path(F.col("url"))})
+    (got,) = df.select(urls.tokens(F.col("url"))).first()
+    want = [f"host:{x}" for x in name.split(".")] + [f"word:{x}" for x in re.split("[.-]", name)] + ["path:x", "part:y0", "part:z.html"] + [f"query:q{k}" for k in range(9)]
+    assert got == want
+
+
+def test_late_tokens_decide(spark):
+    """The eighth word and a tenth query name of long URLs, with names enough for 2^40 sets of tokens."""
+    query = "&".join(f"q{k}=1" for k in range(40))
+    rows = [(k, f"https://{k}a-very-best-and-most-trusted-online-{('casino', 'garden')[k % 2]}.example.fr/{k}/?{query}") for k in range(40)]
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), support=0.1).collect()}
+    assert got == {k: ("block", "allow")[k % 2] for k in range(40)}
+
+
 # 3: quality
 
 
