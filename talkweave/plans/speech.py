@@ -173,18 +173,30 @@ def support(spark, sf_dir):
     return I.islands(segments(spark, sf_dir), ["clip", "speaker"], SECOND // 4)
 
 
-@register("M1_clip_tokens", f"""WITH {SEG}, c AS (SELECT event_id AS clip_id, clip, s, s + 600000000 AS e FROM seg WHERE event_id % 50 = 0)
-    SELECT c.clip_id, t.event_id AS token, t.s - c.s AS "start", t.e - c.s AS "end" FROM seg t JOIN c ON t.clip = c.clip AND t.s >= c.s - 50000 AND t.e <= c.e + 50000 WHERE t.e > t.s""")
-def clip_tokens(spark, sf_dir):
-    """Tokens inside a clip, give or take a twentieth of a second, by the clip's own time."""
+def tokens_inside(tokens, clips):
+    """Tokens inside a clip of ten minutes, give or take a twentieth of a second, by the clip's own time."""
     edge = SECOND // 20
-    s = segments(spark, sf_dir).where("`end` > start")
-    c = segments(spark, sf_dir).where("event_id % 50 = 0").select("clip", F.col("event_id").alias("clip_id"), (F.col("start") - edge).alias("other_start"), (F.col("start") + 600 * SECOND + edge).alias("other_end"))
-    inside = I.range_join(s, c, ["clip"], 600 * SECOND).where("start >= other_start and `end` <= other_end")
+    c = clips.select("clip", F.col("event_id").alias("clip_id"), (F.col("start") - edge).alias("other_start"), (F.col("start") + 600 * SECOND + edge).alias("other_end"))
+    inside = I.range_join(tokens.where("`end` > start"), c, ["clip"], 600 * SECOND).where("start >= other_start and `end` <= other_end")
     began = F.col("other_start") + edge
     return inside.select("clip_id", F.col("event_id").alias("token"), (F.col("start") - began).alias("start"), (F.col("end") - began).alias("end"))
 
 
+@register("M1_clip_tokens", f"""WITH {SEG}, c AS (SELECT event_id AS clip_id, clip, s, s + 600000000 AS e FROM seg WHERE event_id % 50 = 0)
+    SELECT c.clip_id, t.event_id AS token, t.s - c.s AS "start", t.e - c.s AS "end" FROM seg t JOIN c ON t.clip = c.clip AND t.s >= c.s - 50000 AND t.e <= c.e + 50000 WHERE t.e > t.s""")
+def clip_tokens(spark, sf_dir):
+    """The tokens of every fiftieth event's clip; M1_all_clip_tokens has those of all."""
+    s = segments(spark, sf_dir)
+    return tokens_inside(s, s.where("event_id % 50 = 0"))
+
+
+@register("M1_all_clip_tokens", f"""WITH {SEG}, c AS (SELECT event_id AS clip_id, clip, s, s + 600000000 AS e FROM seg)
+    SELECT c.clip_id, t.event_id AS token, t.s - c.s AS "start", t.e - c.s AS "end" FROM seg t JOIN c ON t.clip = c.clip AND t.s >= c.s - 50000 AND t.e <= c.e + 50000 WHERE t.e > t.s""")
+def all_clip_tokens(spark, sf_dir):
+    s = segments(spark, sf_dir)
+    return tokens_inside(s, s)
+
+
 @register("L10_leave_one_out", """WITH t AS (SELECT user_id, round(avg(value), 6) AS v FROM events GROUP BY user_id)
     SELECT t.user_id, t.v > (SELECT max(b.v) FROM t b WHERE b.user_id <> t.user_id) * 0.8 AS recalled FROM t""")
 def leave_one_out(spark, sf_dir):

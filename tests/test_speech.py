@@ -97,3 +97,13 @@ def test_matched_words(spark):
 def test_bootstrap_of_equal_clips_has_no_width(spark):
     r = I.bootstrap(spark.createDataFrame([(i, 1, 4) for i in range(5)], "clip int, err long, total long"), "clip", 50).first()
     assert (r["draws"], r["low"], r["high"]) == (50, 0.25, 0.25)
+
+
+def test_every_event_is_a_clip(spark, sf_dir):
+    """Against brute force, and each event that lasts at most ten minutes is a token of its own clip."""
+    from talkweave.plans import intervallic, registry
+
+    rows = [(r["event_id"], r["clip"], r["start"], r["end"]) for r in intervallic.segments(spark, sf_dir).collect()]
+    want = sorted((c, t, s - at, e - at) for c, day, at, _ in rows for t, d, s, e in rows if d == day and e > s and s >= at - 50_000 and e <= at + 600_050_000)
+    got = sorted(tuple(r) for r in registry.queries()["M1_all_clip_tokens"](spark, sf_dir).select("clip_id", "token", "start", "end").collect())
+    assert got == want and {i for i, _, s, e in rows if 0 < e - s <= 600_000_000} <= {c for c, *_ in got}
