@@ -24,7 +24,7 @@ RULES = (
     ("org/es/", "block"),
 )
 #: Words in a host name that label a URL as unwanted for mining.
-SEEDS = ("bets", "casino", "pills", "poker", "viagra", "xxx")
+SEEDS = ("ads", "adult", "bets", "casino", "pills", "poker", "spam", "viagra", "xxx")
 SUPPORT, CONFIDENCE = 0.001, 0.9
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"

@@ -112,6 +112,13 @@ def test_late_tokens_decide(spark):
     assert got == {k: ("block", "allow")[k % 2] for k in range(40)}
 
 
+def test_every_kind_of_unwanted_host_is_seeded(spark):
+    kinds = ("cheap-pills", "free-bets", "casino-win", "spam-farm", "adult-x", "ads-track", "rivers")
+    rows = [(10 * k + i, f"https://{name}.example.fr/de/{i}") for k, name in enumerate(kinds) for i in range(10)]
+    got = {(kinds[r["page_id"] // 10], r["verdict"]) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), support=0.1).collect()}
+    assert got == {(k, "allow" if k == "rivers" else "block") for k in kinds}
+
+
 # 3: quality
 
 
