@@ -107,3 +107,12 @@ def test_every_event_is_a_clip(spark, sf_dir):
     want = sorted((c, t, s - at, e - at) for c, day, at, _ in rows for t, d, s, e in rows if d == day and e > s and s >= at - 50_000 and e <= at + 600_050_000)
     got = sorted(tuple(r) for r in registry.queries()["M1_all_clip_tokens"](spark, sf_dir).select("clip_id", "token", "start", "end").collect())
     assert got == want and {i for i, _, s, e in rows if 0 < e - s <= 600_000_000} <= {c for c, *_ in got}
+
+
+def test_char_error_of_whole_sources(spark, tmp_path):
+    from talkweave.plans import registry
+
+    rows = [(1, "en", "abcdefghijklmnopqrstuvwxyz"), (2, "fr", "web")]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["cer"] for r in registry.queries()["W1_char_error"](spark, str(tmp_path)).collect()}
+    assert got == {1: 0.076923, 2: 0.666667}
