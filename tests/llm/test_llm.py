@@ -374,6 +374,62 @@ def test_pages_have_their_article(spark, sf_dir):
         assert r["text"] == "\n".join(filter(None, want)) and r["n_chars"] == len(r["text"])
 
 
+LONG = "The council met on Monday evening and, after a debate of three hours, agreed to mend the old bridge before winter."
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<article><p>{LONG}</p></article>", LONG),
+        ("<article><h1>T</h1><p>First</p><p>Last</p></article>", "T\nFirst\nLast"),
+        ("<main><h1>T</h1><p>First</p><p>Last</p></main>", "T\nFirst\nLast"),
+        (f'<div class="content-sidebar-wrap"><article><p>{LONG}</p><p>So.</p></article><div class="sidebar"><p>{LONG}</p></div></div>', f"{LONG}\nSo."),
+        (f'<div id="page" class="site no-sidebar"><article><p>So.</p><p>{LONG}</p></article></div>', f"So.\n{LONG}"),
+        (f"<article><p>x is <math><mi>y</mi></math></p><noscript><p>{LONG}</p></noscript><p hidden>Hid</p><svg><text>Z</text></svg></article>", f"x is y\n{LONG}\nHid\nZ"),
+        (f'<article><p>{LONG}</p><section class="comments"><p>{LONG} First!</p></section></article><div id="comments"><article><p>{LONG} Second!</p></article></div>', LONG),
+        (f'<article class="post comments-open"><p>{LONG}</p><form><p>{LONG}</p><select><option>1</select></form><aside>{LONG}</aside><p>© Photo by me</p></article>', f"{LONG}\n© Photo by me"),
+        (f'<form id="page-form"><article><p>{LONG}</p></article></form>', LONG),
+        (f'<div class="sidebar-outer"><p>{LONG}</p><p>{LONG}</p></div>', f"{LONG}\n{LONG}"),
+        (f"<div><a href=/>Home</a> <a href=/n>News</a></div><div><p>{LONG}</p><p>So.</p><p>{LONG}</p><p>Last</p></div><div>Imprint <a href=/i>Contact</a></div>", f"{LONG}\nSo.\n{LONG}\nLast"),
+        (None, ""), ("", ""), ("<", "<"), ("a < b", "a < b"), ("&amp", "&"), ("<!--", ""), ("<p>" * 20_000, ""), ("<div>" * 30_000 + "x" + "</section>" * 30_000, "x"),
+    ],
+)
+def test_main_text_of_layouts(page, text):
+    assert html.main_text(page) == text
+
+
+def test_layouts_left_out_of_the_table():
+    """Each layout of the labelled table, by a tree that has not seen it: words lost, and F1."""
+    pages = html.labelled()
+    assert len(pages) >= 40
+    scores, recall = [], []
+    for left in range(len(html.LAYOUTS)):
+        tree = html.grow([p for k, p in pages if k != left])
+        hit = kept = wanted = 0
+        for p in (p for k, p in pages if k == left):
+            found = html.blocks(p)
+            taken = {id(b) for b in html.chosen(found, tree)}
+            hit += sum(b.words for b in found if id(b) in taken and b.label == "1")
+            kept += sum(b.words for b in found if id(b) in taken)
+            wanted += sum(b.words for b in found if b.label == "1")
+        scores.append(2 * hit / (kept + wanted))
+        recall.append(hit / wanted)
+    assert min(recall) > 0.9 and min(scores) > 0.65 and sum(scores) / len(scores) > 0.97
+
+
+def test_word_counts_are_not_capped():
+    found = html.blocks("<p>" + "w " * 5000 + "</p><p>a</p>")
+    assert html.table(found)[:, 0].tolist() == [5000, 1] and html.table(found)[1, 2] == 5000
+
+
+def test_html_odd_rows(spark):
+    rows = [(1, "u", None, 5, 6), (1, "u", None, 5, 6), (None, None, f"<p>{LONG}", 5, 6), (2, "", "", 5, 6), (3, "v", "<article>" + "word " * 200_000 + "</article>", 5, 6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text int, n_chars int")
+    got = sorted(((r["page_id"], r["url"], r["n_chars"]) for r in html.extract(df).collect()), key=str)
+    assert got == sorted([(1, "u", 0), (1, "u", 0), (None, None, len(LONG)), (2, "", 0), (3, "v", 999_999)], key=str)
+    assert html.extract(df.limit(0)).count() == 0
+
+
 # 10: media
 
 
