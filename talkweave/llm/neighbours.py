@@ -3,14 +3,18 @@ product-quantised residuals, asymmetric distance tables, and exact reranking.
 
 A vector lies in the list of its nearest centroid and keeps a byte for each part of its residual.
 A query visits the lists whose centroids promise most; there its table of inner products with
-every code word gives a sum for each vector, and the best are ranked again by the original
-vectors. Lists are cut into chunks and the queries of a list into blocks, so no unit of work
-grows with the largest list.
+every code word gives a sum for each vector. Only codes and ids travel to that step. The best
+candidates of all lists together are then joined with their vectors and ranked again exactly.
+
+Lists are filled into units of a bounded size (a long list into several), and queries into blocks,
+so no unit of work grows with the largest list. Queries with equal vectors are searched as one, and
+the bounded result is handed out to their rows.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -19,15 +23,17 @@ from pyspark.sql import functions as F
 from talkweave.llm.common import ship, written
 
 NEAREST = 20
-#: Vectors that centroids and code books are fitted on, at most (those first by a hash of their id).
+#: Vectors that centroids and code books are fitted on, at most (those first by a hash of their
+#: id). There are as many lists as the root of the table's size, but one for eight of these at most.
 SAMPLE = 8192
-PARTS = 16
+PARTS = 32
 #: The share of all lists that a query visits. It sets the recall and is the same at every size.
-SHARE = 0.85
-#: Candidates of a unit that are ranked again, for each query.
-RERANK = 400
-CHUNK = 2048
-BLOCK = 2048
+SHARE = 0.75
+#: Candidates that are ranked again, for each query; None ranks every vector exactly.
+RERANK = 120
+#: Vectors and queries that one unit takes at most, on average.
+UNIT = 65_536
+BLOCK = 256
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -81,107 +87,168 @@ class Index:
         return out
 
 
-def exact(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, components added in their order."""
-    out = np.zeros(len(vectors))
-    for d in range(len(query)):
-        out += vectors[:, d].astype("f8") * float(query[d])
+def best(near: np.ndarray, n: int) -> np.ndarray:
+    """The places of the n largest values, ties to the earlier place."""
+    if len(near) <= n:
+        return np.flatnonzero(near > -np.inf)
+    least = np.partition(near, len(near) - n)[len(near) - n]
+    if least == -np.inf:
+        return np.flatnonzero(near > -np.inf)
+    over = np.flatnonzero(near > least)
+    return np.concatenate([over, np.flatnonzero(near == least)[: n - len(over)]])
+
+
+def units(sizes: dict[int, int], unit: int = UNIT) -> dict[int, tuple[int, int]]:
+    """For each list, its first unit and in how many it is cut; short lists share a unit."""
+    out, at, room = {}, -1, 0
+    for k in sorted(sizes):
+        if sizes[k] > unit:
+            n = -(-sizes[k] // unit)
+            out[k], at, room = (at + 1, n), at + n, 0
+            continue
+        if sizes[k] > room:
+            at, room = at + 1, unit
+        out[k], room = (at, 1), room - sizes[k]
     return out
 
 
-def search(vectors: DataFrame, queries: DataFrame | None = None, nearest: int = NEAREST, share: float = SHARE, sample: int = SAMPLE, lists: int | None = None) -> DataFrame:
-    """Each query's nearest vectors but its own: query_id, rank from 1, vec_id, score.
+def search(vectors: DataFrame, queries: DataFrame | None = None, nearest: int = NEAREST, share: float = SHARE, rerank: int | None = RERANK, sample: int = SAMPLE, lists: int | None = None, parts: int = PARTS) -> DataFrame:
+    """Each query's nearest vectors: query_id, rank from 1, vec_id, score.
 
-    queries has the columns of vectors (by default the rows whose vec_id is divisible by 20). Ties
-    go to the smaller vec_id. Vectors of another length than most of the sample take no part, like
-    those that usable() leaves out. All lists are visited where the lists visited may hold fewer
-    candidates than asked for. An empty table gives no rows.
+    By default the rows whose vec_id is divisible by 20 are the queries, each against every row but
+    itself; rows that repeat are queries and candidates each, so an id may then be its own
+    neighbour. queries from another table have the columns of vectors and meet every row. Ties go
+    to the smaller vec_id. Rows that usable() leaves out take no part. Vectors are compared with
+    those of the same length only. All lists are visited where the lists visited may hold fewer
+    candidates than asked for. rerank None scores all of them exactly. An empty table gives no
+    rows; further columns are not read.
     """
     spark = vectors.sparkSession
     ship(spark)
-    good = usable(vectors)
-    asked = usable(queries) if queries is not None else good.where("vec_id % 20 = 0")
-    out_schema = "query_id long, vec_id long, score double"
-    rows = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    if not rows:
+    own = queries is None
+    good = usable(vectors).withColumn("asked_", F.col("vec_id") % 20 == 0 if own else F.lit(False))
+    if not own:
+        good = good.unionByName(usable(queries).withColumn("asked_", F.lit(True)))
+    rows = written(good.withColumn("row_", F.monotonically_increasing_id()), "vectors")
+    lengths = [r["n"] for r in rows.select(F.size("embedding").alias("n")).distinct().orderBy("n").collect()]
+    found = [_search(rows.where(F.size("embedding") == n), own, nearest, share, rerank, sample, lists, parts) for n in lengths]
+    if not found:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.unionAll, found)
+
+
+def _search(rows: DataFrame, own: bool, nearest: int, share: float, rerank: int | None, sample: int, lists: int | None, parts: int) -> DataFrame:
+    """search() over vectors of one length, with row_, asked_; own: queries are candidates too."""
+    spark = rows.sparkSession
+    candidates = rows if own else rows.where("not asked_")
+    # queries with equal vectors are one; q_ stands for all of them
+    asked = rows.where("asked_").select("vec_id", "row_", "embedding")
+    questions = written(asked.groupBy("embedding").agg(F.min("row_").alias("q_")), "questions")
+    n, n_asked = candidates.count(), questions.count()
+    if not n or not n_asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    lengths = [len(r["embedding"]) for r in rows]
-    width = max(sorted(set(lengths)), key=lengths.count)
-    good, asked = good.where(F.size("embedding") == width), asked.where(F.size("embedding") == width)
-    n, n_asked = good.count(), asked.count()
-    lists = lists or max(1, min(1024, n // 8, max(16, int(math.sqrt(n) / 4))))
-    index = Index(np.array([r["embedding"] for r in rows if len(r["embedding"]) == width], "f4"), lists)
-    lists = len(index.centres)
-    probes = max(1, math.ceil(share * lists))
+    picked = candidates.orderBy(F.xxhash64("vec_id"), "vec_id", "row_").limit(sample).select("embedding").toArrow()["embedding"].combine_chunks()
+    index = Index(picked.flatten().to_numpy(zero_copy_only=False).astype("f4").reshape(len(picked), -1), lists or max(1, min(len(picked) // 8, math.isqrt(n))), parts)
+    lists, exactly = len(index.centres), rerank is None
+    wanted = nearest + 1 if exactly else max(rerank, nearest) + 1
     shared = spark.sparkContext.broadcast(index)
 
+    def matrix(column) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
     def assign(batches):
-        import pandas as pd
+        import pyarrow as pa
 
         for b in batches:
             if len(b):
-                x = np.stack(b["embedding"].to_numpy()).astype("f4")
-                near = shared.value.nearest(x)
-                codes = shared.value.codes(x, near)
-                yield pd.DataFrame({"vec_id": b["vec_id"], "embedding": b["embedding"], "list_": near.astype("int32"), "codes_": [c.tobytes() for c in codes]})
+                x = matrix(b.column(2))
+                near = shared.value.nearest(x.astype("f4"))
+                kept = x.astype("<f8") if exactly else shared.value.codes(x.astype("f4"), near)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near, pa.int32()), pa.array([c.tobytes() for c in kept], pa.binary())], names=["vec_id", "row_", "list_", "kept_"])
 
-    kind = vectors.schema["embedding"].dataType.simpleString()
-    filed = written(good.mapInPandas(assign, f"vec_id long, embedding {kind}, list_ int, codes_ binary"), "vectors")
+    filed = written(candidates.select("vec_id", "row_", "embedding").mapInArrow(assign, "vec_id long, row_ long, list_ int, kept_ binary"), "codes")
     sizes = {r["list_"]: r["n"] for r in filed.groupBy("list_").agg(F.count("*").alias("n")).collect()}  # one row for each list
-    chunks = {k: -(-c // CHUNK) for k, c in sizes.items()}
-    if len(sizes) and sum(sorted(sizes.values())[:probes]) < nearest + 1:
+    place = units(sizes)
+    probes = lists if exactly else max(1, math.ceil(share * lists))
+    if sum(sorted([sizes.get(k, 0) for k in range(lists)])[:probes]) < nearest + 1:
         probes = lists
-    blocks = max(1, -(-n_asked * probes // (lists * BLOCK)))
+    blocks = max(1, -(-n_asked // BLOCK))
 
     def probe(batches):
-        import pandas as pd
+        import pyarrow as pa
 
         for b in batches:
-            if not len(b):
-                continue
-            q = np.stack(b["embedding"].to_numpy()).astype("f4")
-            best = np.argsort(-(q @ shared.value.centres.T), axis=1, kind="stable")[:, :probes]
-            at, to, chunk = [], [], []
-            for k, row in enumerate(best):
-                for x in row.tolist():
-                    for c in range(chunks.get(x, 0)):
-                        at.append(k)
-                        to.append(x)
-                        chunk.append(c)
-            yield pd.DataFrame({"query_id": b["vec_id"].to_numpy()[at], "query": b["embedding"].to_numpy()[at], "list_": np.array(to, "int32"), "chunk_": np.array(chunk, "int32")})
-
-    of_list = F.create_map(*[F.lit(x) for k, c in chunks.items() for x in (k, c)]) if chunks else None
-    chunk = F.pmod(F.xxhash64("vec_id"), F.element_at(of_list, F.col("list_"))).cast("int") if chunks else F.lit(0)
-    left = filed.withColumn("chunk_", chunk).withColumn("block_", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = asked.mapInPandas(probe, f"query_id long, query {kind}, list_ int, chunk_ int").withColumn("block_", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-
-    def rank(candidates, questions):
+            if len(b):
+                to = [sorted({u for k in row for u in range(place[k][0], sum(place[k]))}) for row in visited(matrix(b.column(0)))]
+                at = np.repeat(np.arange(len(b)), [len(t) for t in to])
+                yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(at)), b.column(0).take(pa.array(at)), pa.array([u for t in to for u in t], pa.int32())], names=["q_", "query", "unit_"])
+
+    def visited(q: np.ndarray):
+        """The lists that each query visits and that hold anything."""
+        for row in np.argsort(-(q.astype("f4") @ shared.value.centres.T), axis=1, kind="stable")[:, :probes].tolist():
+            yield [k for k in row if k in place]
+
+    first = F.create_map(*[F.lit(x) for k, (u, _) in place.items() for x in (k, u)])
+    cut = F.create_map(*[F.lit(x) for k, (_, c) in place.items() for x in (k, c)])
+    unit = (first[F.col("list_")] + F.pmod(F.xxhash64("row_"), cut[F.col("list_")])).cast("int")
+    left = filed.select("vec_id", "row_", "list_", "kept_", unit.alias("unit_"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block_"))
+    kind = rows.schema["embedding"].dataType.simpleString()
+    right = questions.mapInArrow(probe, f"q_ long, query {kind}, unit_ int").withColumn("block_", F.pmod(F.xxhash64("q_"), F.lit(blocks)).cast("int"))
+
+    def score(members, questions_):
         import pandas as pd
 
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if len(candidates) and len(questions):
-            candidates = candidates.sort_values("vec_id", kind="stable")
-            ids = candidates["vec_id"].to_numpy("int64")
-            vectors_ = np.stack(candidates["embedding"].to_numpy())
-            codes = np.frombuffer(b"".join(candidates["codes_"]), "u1").reshape(len(ids), -1)
-            asked_ids = questions["query_id"].to_numpy("int64")
-            q = np.stack(questions["query"].to_numpy())
-            for at in range(0, len(q), 64):
-                tables = shared.value.tables(q[at : at + 64].astype("f4"))
-                near = np.zeros((len(tables), len(ids)), "f4")
-                for m in range(codes.shape[1]):
-                    near += tables[:, m, codes[:, m]]
-                for k in range(len(tables)):
-                    other = np.flatnonzero(ids != asked_ids[at + k])
-                    best = other[np.argsort(-near[k, other], kind="stable")[:RERANK]]
-                    score = exact(vectors_[best], q[at + k])
-                    top = np.lexsort((ids[best], -score))[:nearest]
-                    found.append((np.full(len(top), asked_ids[at + k]), ids[best[top]], score[top]))
-        if not found:
-            return pd.DataFrame({"query_id": np.array([], "int64"), "vec_id": np.array([], "int64"), "score": np.array([], "f8")})
-        return pd.DataFrame({"query_id": np.concatenate([f[0] for f in found]), "vec_id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found])})
-
-    unit = ["list_", "chunk_", "block_"]
-    pairs = left.groupBy(*unit).cogroup(right.groupBy(*unit)).applyInPandas(rank, out_schema)
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
+        if not len(members) or not len(questions_):
+            return pd.DataFrame({"q_": np.zeros(0, "i8"), "vec_id": np.zeros(0, "i8"), "row_": np.zeros(0, "i8"), "near": np.zeros(0)})
+        members = members.sort_values(["vec_id", "row_"])
+        ids, at, list_ = (members[c].to_numpy() for c in ("vec_id", "row_", "list_"))
+        kept = np.frombuffer(b"".join(members["kept_"]), "<f8" if exactly else "u1").reshape(len(ids), -1)
+        q = np.stack(questions_["query"].to_numpy()).astype("f8")
+        near = np.full((len(ids), len(q)), -np.inf, "f8" if exactly else "f4")
+        coarse = (q.astype("f4") @ shared.value.centres.T).T
+        asks = np.zeros((lists, len(q)), bool)
+        for j, row in enumerate(visited(q)):
+            asks[row, j] = True
+        tables = None if exactly else np.ascontiguousarray(shared.value.tables(q.astype("f4")).transpose(1, 2, 0))
+        for k in np.unique(list_):
+            here, who = np.flatnonzero(list_ == k), np.flatnonzero(asks[k])
+            if not len(who):
+                continue
+            if exactly:
+                near[np.ix_(here, who)] = sum(kept[here, d, None] * q[None, who, d] for d in range(q.shape[1]))
+                continue
+            total = np.repeat(coarse[k, who][None], len(here), axis=0)
+            for m, table in enumerate(tables):
+                total += np.take(table[:, who], kept[here, m], axis=0)
+            near[np.ix_(here, who)] = total
+        near = np.ascontiguousarray(near.T)
+        top = [best(row, wanted) for row in near]
+        flat = np.concatenate(top)
+        return pd.DataFrame({"q_": np.repeat(questions_["q_"].to_numpy(), [len(t) for t in top]), "vec_id": ids[flat], "row_": at[flat], "near": np.concatenate([row[t] for row, t in zip(near, top)]).astype("f8")})
+
+    by = ["unit_", "block_"]
+    scored = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(score, "q_ long, vec_id long, row_ long, near double")
+    if max(sum(p) for p in place.values()) > 1:  # more than one unit
+        order = Window.partitionBy("q_").orderBy(F.col("near").desc(), "vec_id", "row_")
+        scored = scored.withColumn("at_", F.row_number().over(order)).where(F.col("at_") <= wanted)
+    pairs = scored.select("q_", "vec_id", "row_").join(questions.select("q_", F.col("embedding").alias("query")), "q_").join(candidates.select("row_", "embedding"), "row_").select("q_", "vec_id", "row_", "query", "embedding")
+
+    def ranked(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            if len(b):
+                q, x = matrix(b.column(3)), matrix(b.column(4))
+                total = np.zeros(len(q))
+                for d in range(q.shape[1]):  # components are added in their order, in double precision
+                    total += q[:, d].astype("f8") * x[:, d].astype("f8")
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(total)], names=["q_", "vec_id", "row_", "score"])
+
+    exact = pairs.mapInArrow(ranked, "q_ long, vec_id long, row_ long, score double")
+    # at most `wanted` rows for each q_
+    order = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id", "row_")))
+    tops = exact.groupBy("q_").agg(F.slice(order, 1, nearest + 1).alias("top"))
+    members = asked.join(questions, "embedding").select(F.col("vec_id").alias("query_id"), F.col("row_").alias("own_"), "q_").join(tops, "q_")
+    others = F.slice(F.filter("top", lambda x: x["row_"] != F.col("own_")), 1, nearest) if own else F.slice("top", 1, nearest)
+    out = members.select("query_id", F.posexplode(others).alias("at_", "x"))
+    return out.select("query_id", (F.col("at_") + 1).cast("int").alias("rank"), "x.vec_id", (-F.col("x.less")).alias("score"))

@@ -209,21 +209,47 @@ def test_rounds_are_best_fit_decreasing():
 # 5: neighbours
 
 
-def test_neighbours(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
+def recall(e, **options):
+    """The share of the true nearest that search() finds, against brute force; its order and scores must hold."""
     x = e.collect()
     v, ids = np.array([r["embedding"] for r in x], "f8"), np.array([r["vec_id"] for r in x])
     got = {}
-    for r in neighbours.search(e).collect():
+    for r in neighbours.search(e, **options).collect():
         got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
-    hit = 0
-    for q in ids[ids % 20 == 0]:
-        s = v @ v[ids == q][0]
-        s[ids == q] = -np.inf
+    place, hit, asked = {k: i for i, k in enumerate(ids.tolist())}, 0, ids[ids % 20 == 0].tolist()
+    assert sorted(got) == sorted(asked)
+    for q in asked:
+        s = v @ v[place[q]]
+        s[place[q]] = -np.inf
         assert sorted(got[q]) == list(range(1, 21))
-        assert all(sc == pytest.approx(s[ids == k][0], abs=1e-12) for k, sc in got[q].values())
-        hit += len({k for k, _ in got[q].values()} & set(ids[np.lexsort((ids, -s))[:20]].tolist()))
-    assert hit >= 0.9 * 20 * (ids % 20 == 0).sum()
+        order = [got[q][k] for k in range(1, 21)]
+        assert order == sorted(order, key=lambda x: (-x[1], x[0])) and all(sc == pytest.approx(s[place[k]], abs=1e-12) for k, sc in order)
+        hit += len({k for k, _ in order} & set(ids[np.lexsort((ids, -s))[:20]].tolist()))
+    return hit / (20 * len(asked))
+
+
+def test_neighbours(spark):
+    """Recall with product quantisation deciding what is ranked again, at 500 and at 2,000 vectors."""
+    for sf in ("0.01", "0.1"):
+        assert recall(table(spark, f"/root/testdata/sf{sf}", "embeddings")) >= 0.9
+    assert recall(table(spark, "/root/testdata/sf0.01", "embeddings"), rerank=None) == 1.0
+
+
+def test_neighbours_in_many_units(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "UNIT", 100)
+    monkeypatch.setattr(neighbours, "BLOCK", 7)
+    monkeypatch.setattr(neighbours.units, "__defaults__", (100,))
+    assert recall(table(spark, "/root/testdata/sf0.01", "embeddings")) >= 0.9
+
+
+def test_units_hold_every_list():
+    for sizes in ({0: 5, 1: 90, 3: 250, 4: 1, 5: 1}, {7: 1}, {}):
+        place = neighbours.units(sizes, 100)
+        load = {}
+        for k, (first, n) in place.items():
+            for u in range(first, first + n):
+                load[u] = load.get(u, 0) + -(-sizes[k] // n)
+        assert set(place) == set(sizes) and sorted(load) == list(range(len(load))) and all(x <= 100 for x in load.values())
 
 
 def test_neighbours_odd_rows(spark):
@@ -235,6 +261,18 @@ def test_neighbours_odd_rows(spark):
     assert neighbours.search(df.limit(0)).count() == 0
 
 
+def test_neighbours_repeated_rows_lengths_and_clashes(spark):
+    """Every row of an id is a query and a candidate; vectors of each length are searched; ties go to the smaller id."""
+    rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (7, [0.5, 0.0]), (7, [0.5, 0.0]), (3, [0.5, 0.1]), (40, [1.0, 2.0, 3.0]), (9, [1.0, 0.0, 0.0]), (5, [-1.0, 0.0, 0.0])]
+    df = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "vec_id long, embedding array<double>, row_ int, list_ int, query_id int, score int")
+    for rerank in (neighbours.RERANK, None):
+        got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in neighbours.search(df, rerank=rerank).collect())
+        once = [(20, 1, 20, 1.0), (20, 2, 3, 0.5), (20, 3, 7, 0.5), (20, 4, 7, 0.5)]
+        assert got == sorted([*once, *once, (40, 1, 9, 1.0), (40, 2, 5, -1.0)])
+    other = spark.createDataFrame([(7, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [(r["vec_id"], r["score"]) for r in neighbours.search(df.where("size(embedding) = 2"), other, nearest=2).orderBy("rank").collect()] == [(3, 0.1), (7, 0.0)]
+
+
 # 7: personal data
 
 
