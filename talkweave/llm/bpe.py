@@ -2,8 +2,7 @@
 
 A sequence of tokens is the result of byte-pair merging exactly if every pair of neighbours is
 what merging makes of the two tokens' own text. The encoder therefore walks a word from the
-left, takes the longest token that starts there (an Aho-Corasick automaton gives, in one pass
-over the word, the longest token at each place), and falls back to the next shorter one, or one
+left, takes the longest token that starts there (an Aho-Corasick automaton gives it), and falls back to the next shorter one, or one
 token back, where the pair is not compatible. Places shown to be dead ends are remembered, so a
 word takes time linear in its length.
 
@@ -23,6 +22,8 @@ import regex
 
 #: Ends a word inside the automaton; no mapped byte uses it.
 END = "\n"
+#: Letters of a word that the automaton reads at a time.
+WINDOW = 512
 #: str.split() takes these for white space, the tokenizer's pattern does not.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 #: Marks that follow a word as one token's text, and never begin a contraction.
@@ -98,6 +99,7 @@ class WordBpe:
                     self.shorter[i] = p
                     break
         automaton.make_automaton()
+        self.widest = max(self.length)
         self.automaton = automaton
         # what merging two tokens makes, each token's two parts, and when it is made (0: a letter)
         self.made: dict[int, int] = {}
@@ -113,8 +115,8 @@ class WordBpe:
         for token in sorted(vocab.values(), key=self.order.__getitem__):
             x, y, n = self.left[token], self.right[token], self.order[token]
             self.whole[token] = n == 0 or self.whole[x] and self.whole[y] and self.apart(x, y, n)
-        #: by the first token: whether it and the second are compatible
-        self.pairs: list[dict[int, bool]] = [{} for _ in range(size)]
+        #: by the token before (none: the last row) and a token: the longest of it and its prefixes that may follow
+        self.rows: list[dict[int, int]] = [{-1: -1} for _ in range(size + 1)]
         self.chunks = _Recent(self._chunk, cached)
 
     def apart(self, a: int, b: int, limit: int) -> bool:
@@ -136,13 +138,16 @@ class WordBpe:
             else:
                 return True
 
-    def compatible(self, a: int, b: int) -> bool:
-        """Whether merging leaves the text of a and b as just these tokens."""
-        row = self.pairs[a]
+    def fitting(self, before: int, token: int) -> int:
+        """The longest of a token and its prefixes that merging leaves as it is after ``before``; -1 if none."""
+        row, whole, shorter, found = self.rows[before], self.whole, self.shorter, token
+        while found >= 0 and not (whole[found] and (before < 0 or self.apart(before, found, 1 << 30))):
+            found = shorter[found]
         if len(row) > 5000:
             row.clear()
-        ok = row[b] = self.whole[b] and self.apart(a, b, 1 << 30)
-        return ok
+            row[-1] = -1
+        row[token] = found
+        return found
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one word that the pre-tokenizer has cut, in mapped letters without the word end."""
@@ -150,37 +155,36 @@ class WordBpe:
         token = self.inner.get(ended)
         if token is not None and self.whole[token]:
             return [token]
-        n, length, shorter, pairs, whole = len(ended), self.length, self.shorter, self.pairs, self.whole
-        longest = [-1] * n
-        last_letter = n - 2
-        for end, token in self.automaton.iter(ended):
-            if end != last_letter:  # a token without the word end can't hold the last letter
-                longest[end - length[token] + 1] = token
+        n, length, shorter, rows, matches = len(ended), self.length, self.shorter, self.rows, self.automaton.iter_long
+        last = n - 1  # a token without the word end can't hold the last letter
         out: list[int] = []
-        at, token, dead, before, row = 0, longest[0], set(), -1, None
-        while at < n:
-            while token >= 0:
-                end = at + length[token]
-                if end not in dead and end != n - 1:
-                    if row is None:
-                        if whole[token]:
-                            break
-                    else:
-                        ok = row.get(token)
-                        if ok or ok is None and self.compatible(before, token):
-                            break
-                token = shorter[token]
+        at, before, row, dead = 0, -1, rows[-1], set()
+        # every letter is a token, so a match begins where the one before has ended; a window of the word is matched at a time
+        longest, limit = matches(ended if n <= WINDOW else ended[:WINDOW]), WINDOW - self.widest
+        base, (reached, token) = 0, next(longest)
+        while True:
+            found = row.get(token)
+            token = self.fitting(before, token) if found is None else found
             if token >= 0:
+                end = at + length[token]
+                if end == n:
+                    out.append(token)
+                    return out
+                if end == last or end in dead:
+                    token = shorter[token]
+                    continue
                 out.append(token)
-                before, at, row = token, end, pairs[token]
-                token = longest[at] if at < n else -1
+                before, at, row = token, end, rows[token]
+                if reached != end - 1 or end - base > limit:  # not the longest token was taken, or the window ends
+                    longest, base = matches(ended[at : at + WINDOW]), at
+                reached, token = next(longest)
+                reached += base
             else:
                 dead.add(at)
                 token = out.pop()
                 at -= length[token]
                 before = out[-1] if out else -1
-                row = pairs[before] if out else None
-        return out
+                row, token = rows[before], shorter[token]
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a piece of text, as little-endian unsigned 32-bit numbers."""

@@ -169,6 +169,17 @@ def test_encoder_fuzz(tokenizer):
         assert coder.encode(s) == tokenizer.encode(s, add_special_tokens=False).ids, repr(s)
 
 
+def test_encoder_on_long_words(tokenizer):
+    """Words longer than the window that the automaton reads, in time that grows with their length."""
+    import random
+
+    coder, r = bpe.loaded(tokenizer_path()), random.Random(6)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ab", "eri", "w", "thionsé"):
+        s = "".join(r.choice(letters) for _ in range(6000))
+        assert coder.encode(s) == tokenizer.encode(s, add_special_tokens=False).ids
+    assert coder.widest < bpe.WINDOW
+
+
 def test_packing(spark, odd, sf_dir, tokenizer):
     for docs, capacity in ((odd, 2048), (table(spark, sf_dir, "documents"), 2048), (table(spark, sf_dir, "documents"), 100)):
         rows = packing.pack_documents(docs, capacity).collect()
