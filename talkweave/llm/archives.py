@@ -111,28 +111,27 @@ class Archive:
 
 
 class Writing:
-    """Archives of a task, one after the other, each begun under a passing name.
+    """Archives of one attempt at a task, one after the other.
 
-    The last name follows from the task's partition, so a task that runs again replaces what a
-    lost one has left.
+    The names carry the attempt, so attempts never touch each other's archives, in whatever order
+    their rows came. Which archives count is what the table of their names says, and Spark commits
+    that table for one attempt of each task only.
     """
 
     def __init__(self, folder: str, partition: int, attempt: int):
         self.fs, self.folder = open_fs(folder)
         self.fs.create_dir(self.folder, recursive=True)
-        self.partition, self.attempt, self.count = partition, attempt, 0
+        self.stem, self.count = f"part-{partition:06d}-{attempt}", 0
 
     def begin(self) -> zipfile.ZipFile:
-        self.name = f"part-{self.partition:06d}-{self.count:05d}.zip"
-        self.passing = f"{self.folder}/_{self.attempt}-{self.name}"
+        self.name = f"{self.stem}-{self.count:05d}.zip"
         self.count += 1
-        self.out = self.fs.open_output_stream(self.passing)
+        self.out = self.fs.open_output_stream(f"{self.folder}/{self.name}")
         return zipfile.ZipFile(_Stream(self.out), "w", zipfile.ZIP_STORED, allowZip64=True)
 
     def finish(self, archive: zipfile.ZipFile) -> str:
         archive.close()
         self.out.close()
-        self.fs.move(self.passing, f"{self.folder}/{self.name}")
         return self.name
 
 

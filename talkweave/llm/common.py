@@ -41,8 +41,14 @@ def workspace(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh name below the shared folder; nothing is created yet."""
-    return f"{workspace(spark)}/talkweave/{name}-{uuid.uuid4().hex}"
+    """A fresh folder below the shared one. What a result is read from can't be deleted before that
+    result has been; the folder is therefore deleted when the application ends, or by dropped()."""
+    path = f"{workspace(spark)}/talkweave/{name}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop)
+    fs.deleteOnExit(hadoop)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -52,7 +58,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.mode("append").option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._talkweave_path = path
     return out

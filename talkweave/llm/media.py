@@ -1,7 +1,7 @@
 """Media columns: payloads as lossless images in archives, read by a data source of Spark.
 
 The payload of a document is stored as an 8-bit grey image 64 samples wide. The data source plans
-byte ranges over the archives in a folder; the task of a range reads the archive's directory,
+byte ranges over the archives that a committed table names; the task of a range reads the archive's directory,
 takes the members that begin in its range, and reads each by its own offset, again on its own
 where a read fails. Batches go to Spark through Arrow and are bounded by bytes.
 """
@@ -105,6 +105,12 @@ def write_media(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     return written(docs.select(id_col, text_col).mapInArrow(run, "archive string"), "media-archives")
 
 
+def pa_schema():
+    import pyarrow as pa
+
+    return pa.schema([("archive", pa.string())])
+
+
 class Range(InputPartition):
     def __init__(self, archive: str, begin: int, end: int):
         self.archive, self.begin, self.end = archive, begin, end
@@ -112,20 +118,24 @@ class Range(InputPartition):
 
 class MediaReader(DataSourceReader):
     def __init__(self, options):
-        self.folder = options["path"]
+        self.table = options["path"]
         self.range_bytes = int(options.get("range_bytes", RANGE_BYTES))
         self.derived = str(options.get("payload", "true")).lower() == "false"
 
     def partitions(self):
-        """Ranges of each archive; only names and sizes are read here."""
-        from pyarrow import fs as arrow
-
-        fs, path = open_fs(self.folder)
-        scheme = self.folder[: self.folder.index("://") + 3] if "://" in self.folder else ""
-        if not fs.get_file_info(path).type == arrow.FileType.Directory:
-            return [Range("", 0, 0)]
-        found = sorted((f.path, f.size) for f in fs.get_file_info(arrow.FileSelector(path)) if f.is_file and f.base_name.endswith(".zip") and not f.base_name.startswith("_"))
-        return [Range(scheme + p, a, min(n, a + self.range_bytes)) for p, n in found for a in range(0, n, self.range_bytes)] or [Range("", 0, 0)]
+        """Ranges of each archive that the table names; only names and sizes are read here."""
+        import pyarrow.dataset as ds
+
+        fs, path = open_fs(self.table)
+        named = ds.dataset(path, filesystem=fs, format="parquet", schema=pa_schema()).to_table()["archive"].to_pylist()
+        out = []
+        for archive in sorted(named):
+            fs, path = open_fs(archive)
+            n = fs.get_file_info(path).size
+            if n is None:
+                raise FileNotFoundError(archive)
+            out += [Range(archive, a, min(n, a + self.range_bytes)) for a in range(0, n, self.range_bytes)]
+        return out or [Range("", 0, 0)]
 
     def read(self, partition):
         import pyarrow as pa
@@ -176,9 +186,10 @@ DERIVED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 
 class MediaArchives(DataSource):
-    """spark.read.format("media_archives"): payload "true" gives the stored and the decoded bytes
-    of each member, "false" only what is computed from them. A member that can't be read in any
-    try gives a row with its error, and the other members are not touched by it."""
+    """spark.read.format("media_archives") with the path of a table of archives: payload "true"
+    gives the stored and the decoded bytes of each member, "false" only what is computed from them.
+    What else lies beside the archives, such as those of lost attempts, is not read. A member that
+    can't be read in any try gives a row with its error, and the others are not touched by it."""
 
     @classmethod
     def name(cls) -> str:
@@ -191,10 +202,11 @@ class MediaArchives(DataSource):
         return MediaReader(self.options)
 
 
-def read_media(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame:
+def read_media(spark: SparkSession, archives: DataFrame, payload: bool = True, **options) -> DataFrame:
+    """The members of the archives in a table that write_media() has returned."""
     ship(spark)
     spark.dataSource.register(MediaArchives)
-    return spark.read.format("media_archives").option("path", folder).option("payload", str(payload).lower()).load()
+    return spark.read.format("media_archives").option("path", archives._talkweave_path).option("payload", str(payload).lower()).options(**options).load()
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
@@ -204,8 +216,6 @@ def round_trip(docs: DataFrame) -> DataFrame:
     an empty table gives no rows. Any member that can't be read stops the query.
     """
     spark = docs.sparkSession
-    folder = new_folder(spark, "media")
-    write_media(docs, folder).count()
-    out = read_media(spark, folder, payload=False)
+    out = read_media(spark, write_media(docs, new_folder(spark, "media")), payload=False)
     whole = F.when(F.col("error").isNull(), F.col("doc_id")).otherwise(F.raise_error(F.col("error")).cast("long"))
     return out.select(whole.alias("doc_id"), *[c for c in out.columns if c not in ("doc_id", "error")])

@@ -219,8 +219,8 @@ def redacted(docs: DataFrame) -> DataFrame:
     Overlapping spans are replaced as one, by the kind that begins first.
     """
     docs, back = shielded(docs, ("text", "n_chars"))
-    decided = accepted(counted(candidates(docs.select("text"))))
-    spans = F.array_sort(F.transform(kept_spans(decided), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
+    seen = written(candidates(docs), "pii-candidates")
+    spans = F.array_sort(F.transform(kept_spans(accepted(counted(seen))), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
     text = F.coalesce("text", F.lit(""))
     done = F.aggregate(
         spans,
@@ -230,7 +230,7 @@ def redacted(docs: DataFrame) -> DataFrame:
         ),
         lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    out = candidates(docs).withColumn("spans_", spans).withColumn("text", F.when(F.size("spans_") > 0, done).otherwise(F.col("text")))
+    out = seen.withColumn("spans_", spans).withColumn("text", F.when(F.size("spans_") > 0, done).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return back(out)

@@ -176,11 +176,11 @@ def _remainder(col: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col: str = "text") -> Additive:
-    """Fit on labelled rows that are not held out. Rows without a label or an id are left out; a
-    document that is labelled twice counts twice."""
+    """Fit on at most ``sample`` labelled texts that are not held out. Rows without a label or an id are left out;
+    rows with the same id, label and features count once, however often they repeat."""
     ship(docs.sparkSession)
     known = labels.where("quality in (0, 1) and doc_id is not null").where(_remainder() != 2).select("doc_id", F.col("quality").cast("int").alias("quality_"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality_").limit(sample)
+    known = known.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality_").limit(sample)
 
     def run(batches):
         import pandas as pd
@@ -190,7 +190,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col: st
             yield pd.DataFrame({"doc_id": b["doc_id"], "quality_": b["quality_"], "x_": list(x)})
 
     # the sample has a fixed bound, so it is sent to the texts and not the other way round
-    rows = docs.select("doc_id", F.col(text_col).alias("text_")).join(F.broadcast(known), "doc_id").mapInPandas(run, "doc_id long, quality_ int, x_ array<double>").collect()
+    rows = docs.select("doc_id", F.col(text_col).alias("text_")).join(F.broadcast(known), "doc_id").mapInPandas(run, "doc_id long, quality_ int, x_ array<double>")
+    rows = rows.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality_", "x_").limit(sample).collect()  # an id may have any number of texts
     rows = sorted((r["doc_id"], r["quality_"], r["x_"]) for r in rows)
     return fit(np.array([r[2] for r in rows]).reshape(-1, len(FEATURES)), np.array([r[1] for r in rows], float))
 

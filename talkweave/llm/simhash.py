@@ -28,6 +28,8 @@ SHINGLE = 4
 BLOCK = 1024
 #: What a probe row costs against the verification of a pair.
 PROBE_COST = 150.0
+#: Copies of a component's id that its members are spread over.
+SALTS = 16
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -285,14 +287,14 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def linked(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """For each distinct fp_ of prints (doc_id, fp_): its root_ and the least doc_id of its component
-    (null only where no document of the component has one)."""
-    fps = written(prints.groupBy("fp_").agg(F.min("doc_id").alias("least_")), "fingerprints")
-    found = components(links(fps.select("fp_"), distance)).select(F.col("node").alias("fp_"), "root")
-    rooted = fps.join(found, "fp_", "left").select("fp_", "least_", F.coalesce("root", "fp_").alias("root_"))
-    whole = rooted.groupBy("root_").agg(F.min("least_").alias("component_id"))
-    return rooted.join(whole, "root_").select("fp_", "least_", "root_", "component_id")
+def clusters(prints: DataFrame, distance: int = DISTANCE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of prints (fp_, best_): each distinct fp_ with its least best_ as least_; those of components
+    of two or more with their root_; and each such root_ with the least of all as component_."""
+    fps = written(prints.groupBy("fp_").agg(F.min("best_").alias("least_")), "fingerprints")
+    found = components(links(fps.select("fp_"), distance))
+    roots = found.select(F.col("root").alias("fp_"), F.col("root").alias("root_")).distinct()
+    members = found.select(F.col("node").alias("fp_"), F.col("root").alias("root_")).unionAll(roots).join(fps, "fp_")
+    return fps, members, members.groupBy("root_").agg(F.min("least_").alias("component_"))
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
@@ -302,16 +304,20 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     a doc_id give a row each; a component without any doc_id has a null component_id.
     """
     prints = written(fingerprints(docs, shingle), "prints")
-    found = linked(prints, distance).select("fp_", "component_id")
-    return prints.join(found, "fp_").select("doc_id", F.lpad(F.lower(F.hex("fp_")), 16, "0").alias("fingerprint"), "component_id")
+    fps, members, whole = clusters(prints.select("fp_", F.col("doc_id").alias("best_")), distance)
+    # a root may have any number of members, so they are spread over copies of what they look up
+    spread = whole.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = members.withColumn("salt_", F.pmod(F.xxhash64("fp_"), F.lit(SALTS)).cast("int")).join(spread, ["root_", "salt_"]).select("fp_", "component_")
+    ids = fps.join(named, "fp_", "left").select("fp_", F.coalesce("component_", "least_").alias("component_id"))
+    return prints.join(ids, "fp_").select("doc_id", F.lpad(F.lower(F.hex("fp_")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """The rows of docs of which one stays for each component: that with the least doc_id (an
     arbitrary one of them where rows share it)."""
     docs, back = shielded(docs, ("doc_id", "text"))
-    prints = written(fingerprints(docs, shingle), "prints")
-    best = F.struct(F.col("least_").isNull().alias("none"), F.col("least_").alias("doc_id"), F.col("fp_").alias("fp_"))
-    winners = linked(prints, distance).groupBy("root_").agg(F.min(best).alias("best")).select(F.col("best.fp_").alias("fp_"), F.col("best.doc_id").alias("won_"))
-    joined = fingerprints(docs, shingle, keep=docs.columns).alias("d").join(winners.alias("w"), (F.col("d.fp_") == F.col("w.fp_")) & F.col("d.doc_id").eqNullSafe(F.col("w.won_")))
-    return back(joined.select("d.*").dropDuplicates(["fp_", "doc_id"]))
+    marked = written(fingerprints(docs, shingle, keep=docs.columns).withColumn("row_", F.monotonically_increasing_id()), "marked")
+    best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_")
+    fps, members, whole = clusters(marked.select("fp_", best.alias("best_")), distance)
+    winners = fps.join(members, "fp_", "left_anti").select("least_.row_").unionAll(whole.select("component_.row_"))
+    return back(marked.join(winners, "row_", "left_semi"))

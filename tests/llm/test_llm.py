@@ -137,6 +137,18 @@ def test_quality_odd_rows(spark, odd, clash):
     assert quality.kept(clash, labels, 0.0).columns == clash.columns and quality.kept(clash, labels, 0.0).count() == len(ODD)
 
 
+def test_training_rows_are_bounded(spark, monkeypatch):
+    """An id with any number of rows and texts sends at most the sample to the driver."""
+    seen = {}
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.update(n=len(y)))
+    docs = spark.createDataFrame([(1, f"text {k % 300}x") for k in range(3000)] + [(2, "b")] * 500, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)] * 5 + [(2, 0), (3, 1)], "doc_id long, quality int")
+    quality.train(docs, labels, sample=50)
+    assert seen["n"] <= 50
+    quality.train(docs.where("doc_id = 2"), labels)
+    assert seen["n"] == 1
+
+
 def test_plain_words_count_the_whole_text():
     opening = " ".join(f"w{k}a" for k in range(300))
     junk = " ".join(f"{k}#" for k in range(700))
@@ -495,10 +507,11 @@ def test_media_round_trip(spark, odd):
 
 def test_media_ranges_and_damage(spark, odd, tmp_path):
     folder = f"file://{tmp_path}/m"
-    media.write_media(odd.coalesce(1), folder).count()
+    stored = media.write_media(odd.coalesce(1), folder)
     (archive,) = (tmp_path / "m").glob("*.zip")
-    assert media.read_media(spark, folder).count() == len(ODD)
-    small = spark.read.format("media_archives").option("path", folder).option("range_bytes", "100").load()
+    (tmp_path / "m" / "part-000000-999-00000.zip").write_bytes(archive.read_bytes())  # what a lost attempt has left
+    assert media.read_media(spark, stored).count() == len(ODD)
+    small = media.read_media(spark, stored, range_bytes="100")
     assert sorted(map(str, (r["doc_id"] for r in small.collect()))) == sorted(str(k) for k, _ in ODD)
     with archives.Archive(f"file://{archive}") as a:
         m = a.members()[3]
@@ -506,11 +519,53 @@ def test_media_ranges_and_damage(spark, odd, tmp_path):
     raw = bytearray(archive.read_bytes())
     raw[at + m.size // 2] ^= 255
     archive.write_bytes(bytes(raw))
-    rows = media.read_media(spark, folder).collect()
+    rows = media.read_media(spark, stored).collect()
     assert len(rows) == len(ODD) and sum(r["error"] is not None for r in rows) == 1
     assert struct.unpack(">II", next(r["media"] for r in rows if r["error"] is None)[16:24])[0] == 64
 
 
+def test_media_stored_form_and_feature(spark):
+    """Against a decoder of another make: the stored rows, and the features worked out from them."""
+    import math
+    from collections import Counter
+
+    docs = spark.createDataFrame([(1, "héllo " * 40), (2, ""), (3, "x")], "doc_id long, text string")
+    stored = media.write_media(docs, media.new_folder(spark, "media"))
+    derived = {r["doc_id"]: r for r in media.read_media(spark, stored, payload=False).collect()}
+    for r in media.read_media(spark, stored).collect():
+        png, d = bytes(r["media"]), derived[r["doc_id"]]
+        assert d["media_bytes"] == len(png) and d["media_sha256"] == hashlib.sha256(png).hexdigest()
+        at = png.index(b"IDAT")
+        lines = zlib.decompress(png[at + 4 : at + 4 + struct.unpack(">I", png[at - 4 : at])[0]])
+        rows = [lines[k + 1 : k + 65] for k in range(0, len(lines), 65)]
+        x = b"".join(rows)
+        assert x == bytes(r["payload"])
+        n, total, squares = len(x), sum(x), sum(v * v for v in x)
+        across = sum(abs(b - a) for row in rows for a, b in zip(row, row[1:]))
+        down = sum(abs(b - a) for p, q in zip(rows, rows[1:]) for a, b in zip(p, q))
+        entropy = abs(round(-sum(c / n * math.log2(c / n) for c in Counter(x).values()), 2))
+        assert d["feature"] == f"rows={len(rows)};mean={total * 1000 // n};var={(squares * n - total * total) * 1000 // n**2};dx={across * 1000 // n};dy={down * 1000 // n};values={len(set(x))};entropy={entropy:.2f}"
+
+
+def test_attempts_of_a_partition_do_not_mix(tmp_path):
+    """A partition is written twice with its rows in another order, and only one attempt counts."""
+    folder, rows = f"file://{tmp_path}/a", [b"%d" % k for k in range(10)]
+    made = {}
+    for attempt, order in ((1, rows), (2, rows[::-1])):
+        out = archives.Writing(folder, 0, attempt)
+        for part in (order[:6], order[6:]) if attempt == 1 else (order[:3], order[3:5], order[5:]):
+            archive = out.begin()
+            for r in part:
+                archive.writestr(r.decode(), r)
+            made.setdefault(attempt, []).append(out.finish(archive))
+    for names in made.values():
+        got = []
+        for name in names:
+            with archives.Archive(f"{folder}/{name}") as a:
+                got += [a.at(a.begins(m), m.size) for m in a.members()]
+        assert sorted(got) == sorted(rows)
+
+
 # the pipeline
 
 
