@@ -47,6 +47,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             path = new_folder(spark, f"pipeline-{name}")
-            docs.write.parquet(path)
+            docs.write.mode("append").parquet(path)
             docs = spark.read.parquet(path)
     return docs
