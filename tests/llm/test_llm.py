@@ -347,6 +347,58 @@ def test_reliabilities_find_the_better_labelers():
     assert pii.accepted({}) == []
 
 
+def test_classifier_sees_features_and_not_votes():
+    rows = [("account", "01", 9.0, 10), ("account", "02", 1.0, 10), ("account", "11", 45.0, 50), ("name", "01", 0.5, 10), ("name", "11", 0.5, 10)]
+    likely = pii.classifier(rows)
+    assert likely("account", "01") > 0.8 and likely("account", "02") < 0.2 and likely("name", "01") < 0.2
+    assert likely("account", "12") < likely("account", "11")  # a combination that was not there
+
+
+def planted(n=400, seed=2):
+    """Texts with personal data beyond the base kinds, and with numbers and names that are none: (text, wanted spans)."""
+    import random
+
+    r = random.Random(seed)
+    digits = lambda k: r.choice("123456789") + "".join(r.choice("0123456789") for _ in range(k - 1))
+    word = lambda: r.choice(["Lemo", "Tarin", "Bostel", "Querin", "Halven", "Dorsey"])
+    good = {
+        "account": lambda: (r.choice(["account ", "Konto: ", "IBAN no. ", "cuenta "]), digits(r.choice([10, 11, 12]))),
+        "local": lambda: (r.choice(["call ", "Tel. ", "phone: ", ""]), f"({r.randint(2, 9)}{digits(2)}) {r.randint(2, 9)}{digits(2)}-{digits(4)}"),
+        "name": lambda: (r.choice(["from ", "patient ", "signed by ", ""]), r.choice([f"Mr. {word()}", f"Frau {word()}", f"Maria {word()}", f"Dr. Peter {word()}"])),
+        "secret": lambda: ("", f'{r.choice(["token", "api_key", "password"])} = "{"".join(r.choice("0123456789abcdef") for _ in range(40))}"'),
+    }
+    bad = [
+        lambda: f"order {digits(11)} units", lambda: f"version {digits(10)}", lambda: f"invoice {digits(12)}", lambda: f"page/{digits(13)}/x", lambda: f"{'0' * 11}",
+        lambda: f"isbn {digits(10)}", lambda: f"serial {digits(11)}", lambda: f"sku 100.000.0000#", lambda: f"build {digits(10)}",
+    ]
+    out = []
+    for _ in range(n):
+        text, spans = "", []
+        for _ in range(r.randint(1, 3)):
+            text += " ".join(r.choice("the old river ran past a mill and two barns".split()) for _ in range(r.randint(3, 8))) + " "
+            if r.random() < 0.5:
+                kind = r.choice(list(good))
+                before, value = good[kind]()
+                text += before
+                spans.append(f"{kind}:{len(text)}:{len(text) + len(value)}")
+                text += value
+            else:
+                text += r.choice(bad)()
+            text += r.choice([". ", " and ", ", "])
+        out.append((text, spans))
+    return out
+
+
+def test_pii_added_spans_on_planted_data(spark):
+    texts = planted()
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: {x for x in r["spans"].split(",") if x.split(":")[0] in pii.EXTRA} for r in pii.annotate(docs).collect()}
+    hit = sum(len(got[k] & set(w)) for k, (_, w) in enumerate(texts))
+    made, wanted = sum(map(len, got.values())), sum(len(w) for _, w in texts)
+    print(f"added spans: precision {hit / made:.3f}, recall {hit / wanted:.3f}")
+    assert hit / made >= 0.9 and hit / wanted >= 0.9
+
+
 # 8: SimHash
 
 
