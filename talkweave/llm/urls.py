@@ -23,8 +23,15 @@ RULES = (
     ("example.net/de/8", "allow"),
     ("org/es/", "block"),
 )
-#: Words in a host name that label a URL as unwanted for mining.
-SEEDS = ("ads", "adult", "bets", "casino", "pills", "poker", "spam", "viagra", "xxx")
+#: The labelled table: words that mark a URL as unwanted wherever they stand in its host, by kind.
+SEEDS = {
+    "gambling": "bet bets betting bingo casino casinos gamble gambling jackpot lotto poker roulette slots wager",
+    "medicine": "cialis meds pharma pills pharmacy steroids viagra",
+    "adult": "adult camgirls erotic escort escorts hentai nude porn sex sexy xxx",
+    "spam": "freebies giveaway replica scam sexting spam spammer spamming traffic warez",
+    "advertising": "ad ads adserver adsrv adtech banners clickbait doubleclick popads popunder track tracker trackers tracking",
+    "fraud": "crack cracked keygen loans malware payday phish phishing torrent torrents",
+}
 SUPPORT, CONFIDENCE = 0.001, 0.9
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -96,17 +103,18 @@ def mined(labelled: DataFrame, support: float = SUPPORT, confidence: float = CON
     rows = baskets.select(F.explode("tokens").alias("token"), (F.col("label") == "block").cast("int").alias("block_"), F.xxhash64(F.array_sort("tokens")).cast("decimal(20,0)").alias("row_"))
     known = rows.groupBy("token").agg(F.count("*").alias("n_"), F.sum("block_").alias("block_"), F.sum("row_").alias("rows_")).where(F.col("block_") >= ceil(support * n))
     known = written(known.withColumn("confidence", F.col("block_") / F.col("n_")), "url-tokens")
-    alone = known.where(F.col("confidence") >= confidence).select(F.xxhash64(F.array("token")).alias("rule_id"), F.array("token").alias("needs"), "confidence", (F.col("block_") / n).alias("support"))
+    alone = known.where(F.col("confidence") >= confidence).select(F.array("token").alias("needs"), "confidence", (F.col("block_") / n).alias("support"))
     same = known.where(F.col("confidence") < confidence).groupBy("n_", "block_", "rows_").agg(F.min("token").alias("token"))
     used = F.broadcast(same.agg(F.collect_list("token").alias("used_")))
     baskets = baskets.crossJoin(used).select(F.concat(F.array_intersect("tokens", "used_"), F.array(F.concat(F.lit("="), "label"))).alias("items"))
     found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets).associationRules
     block = found.where((F.col("consequent")[0] == "=block") & ~F.exists("antecedent", lambda x: x.startswith("=")))
-    rules = written(block.select(F.xxhash64(F.array_sort("antecedent")).alias("rule_id"), F.array_sort("antecedent").alias("needs"), "confidence", "support").unionAll(alone), "url-rules")
+    rules = block.select(F.array_sort("antecedent").alias("needs"), "confidence", "support").unionAll(alone)
+    rules = written(rules.select(F.monotonically_increasing_id().alias("rule_id"), "*"), "url-rules")
     # a rule goes if leaving out one token gives a rule that is as sure
     less = rules.select("rule_id", "confidence", F.explode("needs").alias("gone"), "needs").where(F.size("needs") > 1)
-    less = less.select("rule_id", "confidence", F.xxhash64(F.array_remove("needs", F.col("gone"))).alias("inner"))
-    spare = less.join(rules.select(F.col("rule_id").alias("inner"), F.col("confidence").alias("sure")), "inner").where("sure >= confidence").select("rule_id").distinct()
+    less = less.select("rule_id", "confidence", F.array_remove("needs", F.col("gone")).alias("inner"))
+    spare = less.join(rules.select(F.col("needs").alias("inner"), F.col("confidence").alias("sure")), "inner").where("sure >= confidence").select("rule_id").distinct()
     return rules.join(spare, "rule_id", "left_anti")
 
 
@@ -121,19 +129,30 @@ def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return hit.select("uid_").distinct()
 
 
-def judge(pages: DataFrame, rules=RULES, seeds=SEEDS, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+def labelled(base: DataFrame, seeds=SEEDS, hosts: DataFrame | None = None) -> DataFrame:
+    """base (host, ruled_, ...) with a column label: the fixed rule's verdict, else that of the table
+    hosts (host, label; block wins where a host has both), else block for a host with a seed word,
+    else allow."""
+    words = sorted({w for group in (seeds.values() if isinstance(seeds, dict) else seeds) for w in group.split()})
+    seeded = F.arrays_overlap(F.split("host", "[.-]"), F.array(*[F.lit(w) for w in words])) if words else F.lit(False)
+    told = F.lit(None).cast("string")
+    if hosts is not None:
+        base = base.join(hosts.groupBy("host").agg(F.max("label").alias("told_")), "host", "left")
+        told = F.col("told_")
+    return base.withColumn("label", F.coalesce("ruled_", told, F.when(seeded, "block"), F.lit("allow"))).drop("told_")
+
+
+def judge(pages: DataFrame, rules=RULES, seeds=SEEDS, support: float = SUPPORT, confidence: float = CONFIDENCE, hosts: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule and verdict for each row of pages.
 
-    The labels to mine from are the fixed rules' own verdicts and, where no rule fits, block for
-    hosts with a seed word and allow for others. What no rule fits is blocked if a mined rule
+    labelled() says what the rules are mined from. What no rule fits is blocked if a mined rule
     matches and allowed otherwise. Null urls, and those without "://", have an empty host and path, no tokens and are
-    allowed. Rows that repeat get a row each; page_id may be null.
+    allowed. Rows that repeat get a row each; page_id may be null; further columns are not read; an
+    empty table gives no rows.
     """
-    base = ruled(pages.select("page_id", "url"), rules).withColumn("tokens", tokens(F.col("url")))
-    base = written(base.select("page_id", "host", "path", "rule", "ruled_", "tokens", F.xxhash64(F.array_sort("tokens")).alias("uid_")), "urls")
-    seeded = F.arrays_overlap(F.split("host", "[.-]"), F.array(*[F.lit(s) for s in seeds])) if seeds else F.lit(False)
-    labelled = base.withColumn("label", F.coalesce("ruled_", F.when(seeded, "block"), F.lit("allow")))
-    open_ = base.where("rule is null").groupBy("uid_").agg(F.first("tokens").alias("tokens"))  # URLs of the same tokens are looked up once
-    hits = matched(open_, mined(labelled, support, confidence)).withColumn("hit_", F.lit(True))
+    base = ruled(pages.select("page_id", "url"), rules).withColumn("tokens", F.array_sort(tokens(F.col("url"))))
+    base = written(base.select("page_id", "host", "path", "rule", "ruled_", "tokens"), "urls")
+    open_ = base.where("rule is null").select(F.col("tokens").alias("uid_"), "tokens").distinct()  # URLs of the same tokens are looked up once
+    hits = matched(open_, mined(labelled(base, seeds, hosts), support, confidence)).select(F.col("uid_").alias("tokens"), F.lit(True).alias("hit_"))
     verdict = F.coalesce("ruled_", F.when(F.col("hit_"), "block"), F.lit("allow"))
-    return base.join(hits, "uid_", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"))
+    return base.join(hits, "tokens", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"))

@@ -95,6 +95,53 @@ def test_mined_rules_by_brute_force(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_no_rule_is_missed(spark):
+    """All combinations of tokens, counted one by one: what any of them blocks, the mined rules block."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for _ in range(400):
+        t = {f"t{x}" for x in rng.integers(0, 7, rng.integers(1, 6))}
+        rows.append((sorted(t), "block" if {"t1", "t2"} <= t or {"t3", "t4", "t5"} <= t or ("t6" in t and "t0" not in t and rng.random() < 0.8) else "allow"))
+    support, confidence = 0.02, 0.85
+    brute = []
+    for size in range(1, 8):
+        for needs in combinations([f"t{k}" for k in range(7)], size):
+            hit = [label for t, label in rows if set(needs) <= set(t)]
+            if hit.count("block") >= support * len(rows) and hit.count("block") >= confidence * len(hit):
+                brute.append(set(needs))
+    assert any(len(b) > 2 for b in brute)
+    got = [set(r["needs"]) for r in urls.mined(spark.createDataFrame(rows, "tokens array<string>, label string"), support, confidence).collect()]
+    for t, _ in rows:
+        assert any(b <= set(t) for b in brute) == any(g <= set(t) for g in got), t
+    assert all(g in brute for g in got)
+
+
+def test_mined_rules_on_held_out_hosts(spark):
+    """Rules mined from three quarters of the hosts, judged on the rest."""
+    d = urls.ruled(table(spark, "/root/testdata/sf0.1", "pages").select("page_id", "url")).withColumn("tokens", F.array_sort(urls.tokens(F.col("url"))))
+    d = urls.labelled(d).withColumn("part_", F.pmod(F.xxhash64("host"), F.lit(4))).cache()
+    rules = urls.mined(d.where("part_ <> 3")).cache()
+    rest = d.where("part_ = 3 and rule is null").withColumn("uid_", F.monotonically_increasing_id()).cache()
+    hit = urls.matched(rest, rules)
+    n = rest.join(hit.withColumn("hit_", F.lit(1)), "uid_", "left").groupBy("label").agg(F.count("hit_").alias("hit"), F.count("*").alias("n")).collect()
+    n = {r["label"]: (r["hit"], r["n"]) for r in n}
+    wrong, blocked = n["allow"][0], n["block"][0]
+    print(f"held-out hosts: precision {blocked / max(1, blocked + wrong):.3f}, recall {blocked / n['block'][1]:.3f} of {n}, {rules.count()} rules")
+    assert blocked >= 0.9 * (blocked + wrong)
+
+
+def test_labelled_hosts_and_odd_rows(spark):
+    rows = [(k, f"https://{name}.example.fr/x/{k % 7}", 1, 2) for k, name in enumerate(["quiet-garden", "loud-garden"] * 20)] + [(None, None, 1, 2), (1, "https://quiet-garden.example.fr/x/1", 1, 2), (1, "https://quiet-garden.example.fr/x/1", 1, 2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, tokens int, hit_ int")
+    hosts = spark.createDataFrame([("loud-garden.example.fr", "block"), ("loud-garden.example.fr", "allow")], "host string, label string")
+    got = urls.judge(pages, support=0.05, hosts=hosts).collect()
+    assert len(got) == len(rows)
+    assert {(r["host"][:4], r["verdict"]) for r in got} == {("quie", "allow"), ("loud", "block"), ("", "allow")}
+    assert urls.judge(pages.limit(0), hosts=hosts).count() == 0
+
+
 def test_url_tokens_are_not_capped(spark):
     name = "a.b.c.d.e.f.the-very-best-and-most-trusted-online-casino.example.fr"
     url = f"https://{name}/x/y7/z.html?" + "&".join(f"q{k}=1" for k in range(9))
