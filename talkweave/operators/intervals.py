@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talkweave.operators.ranks import ranked
+
 
 def range_join(left: DataFrame, right: DataFrame, keys: list[str], width: float) -> DataFrame:
     """Pairs of rows with equal keys whose [start, end) overlap.
@@ -170,7 +172,7 @@ def bootstrap(scores: DataFrame, clip: str, draws: int) -> DataFrame:
     clips, so a draw is the same everywhere. Work is draws x clips, spread by draw.
     """
     n = scores.count()
-    numbered = scores.withColumn("i_", F.row_number().over(Window.orderBy(clip)) - 1)
+    numbered = ranked(scores, [clip], "i_").withColumn("i_", F.col("i_") - 1)
     picks = scores.sparkSession.range(draws).select(F.col("id").alias("b_"), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("k_"))
     step = ((F.col("b_") * 7919 + F.col("k_") * 104729 + 12345) * 1103515245) % 2147483648
     picked = picks.select("b_", (F.floor(step / 65536) % max(n, 1)).cast("int").alias("i_"))

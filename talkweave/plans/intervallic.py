@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talkweave.operators import intervals as I
+from talkweave.operators.ranks import ranked
 from talkweave.plans.registry import load, register
 
 SECOND = 1_000_000
@@ -187,8 +188,9 @@ def fill(spark, sf_dir):
 @register("I22_split", "WITH c AS (SELECT DISTINCT conv_id FROM conversations), r AS (SELECT conv_id, percent_rank() OVER (ORDER BY md5(CAST(conv_id AS VARCHAR))) AS p FROM c) SELECT conv_id, CASE WHEN p < 0.8 THEN 'train' WHEN p < 0.9 THEN 'dev' ELSE 'test' END AS split FROM r")
 def split(spark, sf_dir):
     c = load(spark, sf_dir, "conversations").select("conv_id").distinct()
-    p = F.percent_rank().over(Window.orderBy(F.md5(F.col("conv_id").cast("string").cast("binary"))))
-    return c.withColumn("p", p).select("conv_id", F.expr("case when p < 0.8 then 'train' when p < 0.9 then 'dev' else 'test' end as split"))
+    c = ranked(c.withColumn("digest", F.md5(F.col("conv_id").cast("string").cast("binary"))), ["digest"], "rn", F.rank())
+    others = F.greatest(c.agg((F.count("*") - 1).alias("others")).scalar(), F.lit(1))
+    return c.withColumn("p", (F.col("rn") - 1) / others).select("conv_id", F.expr("case when p < 0.8 then 'train' when p < 0.9 then 'dev' else 'test' end as split"))
 
 
 @register("I23_inside", f"WITH {SEG}, {ISLES} SELECT h.clip, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM isles i WHERE i.clip = h.clip AND i.s <= (h.s + h.e) // 2 AND i.e > (h.s + h.e) // 2)) AS inside FROM hyp h GROUP BY h.clip")

@@ -49,4 +49,4 @@ def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ENTRIES["L5_code_mixing"].run(spark, sf_dir)
 
 
-from talkweave.plans import files, generated, identity, intervallic, relational, sequences, shared, speech, textual  # noqa: E402, F401
+from talkweave.plans import files, generated, identity, intervallic, relational, sequences, shared, speech, textual, timed  # noqa: E402, F401

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talkweave.functions import text as T
 from talkweave.operators import spans as S
+from talkweave.operators.ranks import ranked
 from talkweave.plans.registry import load, register
 from talkweave.plans.textual import TOKENS, conversation_tokens
 
@@ -237,14 +238,14 @@ def speakers(spark, sf_dir):
 def run_ranking(spark, sf_dir):
     d = F.col("value") - F.lag("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     g = load(spark, sf_dir, "events").withColumn("d", d).groupBy("user_id").agg(F.min("value").alias("best"), F.round(F.avg("d"), 6).alias("mean_step"))
-    return g.withColumn("place", F.rank().over(Window.orderBy("best")))
+    return ranked(g, ["best"], "place", F.rank())
 
 
 @register("M9_dev_fold", "SELECT conv_id FROM (SELECT conv_id, row_number() OVER (ORDER BY conv_id) AS rn FROM (SELECT DISTINCT conv_id FROM conversations)) WHERE rn % 5 <> 0")
 def dev_fold(spark, sf_dir):
     """Conversations but every fifth, which are held out."""
     c = load(spark, sf_dir, "conversations").select("conv_id").distinct()
-    return c.withColumn("rn", F.row_number().over(Window.orderBy("conv_id"))).where("rn % 5 <> 0").select("conv_id")
+    return ranked(c, ["conv_id"], "rn").where("rn % 5 <> 0").select("conv_id")
 
 
 @register("M14_totals", "SELECT event_type, round(sum(value) / count(*), 6) AS rate, count(*) FILTER (value > 200) AS timeouts FROM events GROUP BY event_type")

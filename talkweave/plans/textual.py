@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from talkweave.operators.ranks import ranked
 from talkweave.functions import text as T
 from talkweave.plans.registry import load, register
 
@@ -147,8 +148,7 @@ def class_scores(spark, sf_dir):
 def balanced_folds(spark, sf_dir):
     """Conversations dealt to five folds, largest first, to and fro."""
     n = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"))
-    rn = (F.row_number().over(Window.orderBy(F.desc("turns"), "conv_id")) - 1).cast("long")
-    out = n.withColumn("rn", rn)
+    out = ranked(n, [F.desc("turns"), "conv_id"], "rn").withColumn("rn", F.col("rn") - 1)
     return out.select("conv_id", "turns", F.expr("if((rn div 5) % 2 = 0, rn % 5, 4 - rn % 5) as fold"))
 
 
