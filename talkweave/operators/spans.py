@@ -4,24 +4,39 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+FOUND = "array<struct<label:string,start:int,end:int,surface:string>>"
+
+
 def detected(docs: DataFrame, patterns: dict[str, str]) -> DataFrame:
     """All matches of each label's pattern: doc_id, label, start, end (half-open), surface.
 
-    Offsets are running lengths of the gaps between matches and of the matches, within a document.
+    A text is read once for all labels and nothing is shuffled; offsets are running lengths of the
+    gaps between matches and of the matches.
     """
-
-    def one(label: str, pattern: str) -> DataFrame:
-        hits = docs.select("doc_id", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("hits"), "text").where(F.size("hits") > 0)
-        parts = hits.select("doc_id", F.posexplode(F.zip_with(F.slice(F.split("text", pattern, -1), F.lit(1), F.size("hits")), "hits", lambda g, h: F.struct(F.length(g).alias("g"), h.alias("h")))).alias("i", "x"))
-        order = Window.partitionBy("doc_id").orderBy("i")
-        end = F.sum(F.col("x.g") + F.length("x.h")).over(order).cast("int")
-        return parts.select("doc_id", F.lit(label).alias("label"), (end - F.length("x.h")).alias("start"), end.alias("end"), F.col("x.h").alias("surface"))
-
-    return reduce(DataFrame.unionByName, [one(k, p) for k, p in patterns.items()])
+    text = F.col("text")
+
+    def one(label: str, pattern: str) -> Column:
+        def step(acc, x):
+            start = acc["at"] + F.length(x["gap"])
+            end = start + F.length(x["hit"])
+            found = F.struct(F.lit(label).alias("label"), start.alias("start"), end.alias("end"), x["hit"].alias("surface"))
+            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(found)).alias("out"))
+
+        def placed(hits: Column) -> Column:
+            gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
+            parts = F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
+            return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(FOUND).alias("out")), step)["out"]
+
+        # an array of one, so that the matches are looked for once
+        hits = F.array(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+        return F.transform(hits, lambda h: F.when(F.size(h) > 0, placed(h)).otherwise(F.array().cast(FOUND)))[0]
+
+    found = docs.select("doc_id", F.explode(F.concat(*[one(k, p) for k, p in patterns.items()])).alias("x"))
+    return found.select("doc_id", "x.label", "x.start", "x.end", "x.surface")
 
 
 # Cues before a keyword-anchored identifier; the identifier is the last group, at the end.

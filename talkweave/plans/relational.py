@@ -78,10 +78,11 @@ def restore(spark, sf_dir):
 
 @register("R4_leaks", "SELECT CAST(0 AS BIGINT) AS leaks")
 def leaks(spark, sf_dir):
-    """Known surfaces that are still in a redacted text."""
+    """Replaced surfaces of six characters or more that their redacted text still holds anywhere,
+    whether or not a pattern finds them there."""
     _, out = _redaction(spark, sf_dir)
-    left = S.detected(out.select("doc_id", F.col("redacted").alias("text")), {"EMAIL": EMAIL, "IP": IP, "ACCOUNT": LONG})
-    return left.join(spans(spark, sf_dir).select("surface").distinct(), "surface").agg(F.count("*").alias("leaks"))
+    left = F.filter("replacements", lambda x: (F.length(x["original"]) >= 6) & F.contains("redacted", x["original"]))
+    return out.agg(F.sum(F.size(left)).cast("long").alias("leaks"))
 
 
 @register("R5_summary", f"WITH {SPANS} SELECT label, count(*) AS mentions, count(DISTINCT surface) AS entities FROM sp GROUP BY label")

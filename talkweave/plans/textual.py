@@ -47,6 +47,15 @@ def tagged_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.join(word_frequencies(spark, sf_dir), "word", "left").withColumn("lang", lang)
 
 
+def labelled_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens with their language label alone. Fewer than 1 / ENGLISH words can be that frequent, so
+    they are broadcast and the tokens stay where they are."""
+    frequent = word_frequencies(spark, sf_dir).where(F.col("freq") >= ENGLISH).select("word", F.lit(True).alias("english"))
+    tokens = conversation_tokens(spark, sf_dir).withColumn("word", F.lower("token")).join(F.broadcast(frequent), "word", "left")
+    lang = F.when(F.col("token").rlike("^[0-9]+$"), "OTHER").when(F.col("english"), "EN").otherwise("SI")
+    return tokens.withColumn("lang", lang).drop("english")
+
+
 @register("L8_token_stream", f"WITH {TOKENS} SELECT * FROM tokens")
 def token_stream(spark, sf_dir):
     return conversation_tokens(spark, sf_dir)
@@ -76,7 +85,7 @@ SWITCH = "switched AS (SELECT *, coalesce(lag(lang) OVER (PARTITION BY conv_id,
 
 @register("L3_switches", f"WITH {TOKENS}, {FREQ}, {SWITCH} SELECT conv_id, turn, tok_id, lang, switch FROM switched")
 def switches(spark, sf_dir):
-    return switched(tagged_tokens(spark, sf_dir)).select("conv_id", "turn", "tok_id", "lang", "switch")
+    return switched(labelled_tokens(spark, sf_dir)).select("conv_id", "turn", "tok_id", "lang", "switch")
 
 
 @register(
@@ -85,7 +94,7 @@ def switches(spark, sf_dir):
         SELECT conv_id, CAST(sum(n) AS BIGINT) AS n_tokens, CAST(sum(s) AS BIGINT) AS n_switches, round(100.0 * (sum(n) - max(n)) / sum(n), 2) AS cmi FROM c GROUP BY conv_id""",
 )
 def code_mixing(spark, sf_dir):
-    counts = switched(tagged_tokens(spark, sf_dir)).groupBy("conv_id", "lang").agg(F.count("*").alias("n"), F.count_if("switch").alias("s"))
+    counts = switched(labelled_tokens(spark, sf_dir)).groupBy("conv_id", "lang").agg(F.count("*").alias("n"), F.count_if("switch").alias("s"))
     total = F.sum("n")
     return counts.groupBy("conv_id").agg(total.alias("n_tokens"), F.sum("s").alias("n_switches"), F.round(100.0 * (total - F.max("n")) / total, 2).alias("cmi"))
 
@@ -99,7 +108,7 @@ CMI = f"""{TOKENS}, {FREQ}, m AS (SELECT conv_id, turn, round(100.0 * (sum(n) -
     f"WITH {CMI} SELECT count(*) AS n, round(avg(cmi), 4) AS mean_cmi, round(median(cmi), 4) AS median_cmi, round(stddev_samp(cmi), 4) AS sd_cmi, round(avg(CAST(cmi = 0 AS INTEGER)), 4) AS monolingual, round(avg(CAST(cmi > 25 AS INTEGER)), 4) AS mixed FROM m",
 )
 def mixing_summary(spark, sf_dir):
-    counts = tagged_tokens(spark, sf_dir).groupBy("conv_id", "turn", "lang").agg(F.count("*").alias("n"))
+    counts = labelled_tokens(spark, sf_dir).groupBy("conv_id", "turn", "lang").agg(F.count("*").alias("n"))
     cmi = counts.groupBy("conv_id", "turn").agg(F.round(100.0 * (F.sum("n") - F.max("n")) / F.sum("n"), 2).alias("cmi"))
     r = lambda c, name: F.round(c, 4).alias(name)
     return cmi.agg(
@@ -119,7 +128,7 @@ def switch_scores(spark, sf_dir):
     """The switches of a length-based tagger against those of the language tagger."""
     order = Window.partitionBy("conv_id", "turn").orderBy("tok_id")
     long = F.length("token") > 4
-    t = switched(tagged_tokens(spark, sf_dir)).withColumn("pred", F.coalesce(F.lag(long).over(order) != long, F.lit(False)))
+    t = switched(labelled_tokens(spark, sf_dir)).withColumn("pred", F.coalesce(F.lag(long).over(order) != long, F.lit(False)))
     k = t.agg(F.count_if(F.expr("switch and pred")).alias("tp"), F.count_if(F.expr("pred and not switch")).alias("fp"), F.count_if(F.expr("switch and not pred")).alias("fn"))
     return k.select("tp", "fp", "fn", F.expr("round(tp / (tp + fp), 4) as p"), F.expr("round(tp / (tp + fn), 4) as r"), F.expr("round(2.0d * tp / (2 * tp + fp + fn), 4) as f1"))
 
@@ -134,7 +143,7 @@ def switch_scores(spark, sf_dir):
 )
 def class_scores(spark, sf_dir):
     pred = F.when(F.col("token").rlike("^[0-9]+$"), "OTHER").when(F.length("token") <= 4, "EN").otherwise("SI")
-    confusion = tagged_tokens(spark, sf_dir).groupBy(F.col("lang").alias("gold"), pred.alias("pred")).agg(F.count("*").alias("n"))
+    confusion = labelled_tokens(spark, sf_dir).groupBy(F.col("lang").alias("gold"), pred.alias("pred")).agg(F.count("*").alias("n"))
     sides = confusion.select(F.explode(F.array(F.struct(F.col("gold").alias("label"), F.lit(True).alias("is_gold")), F.struct(F.col("pred").alias("label"), F.lit(False).alias("is_gold")))).alias("x"), F.expr("gold = pred as same"), "n")
     out = sides.groupBy("x.label").agg(F.expr("sum(if(x.is_gold and same, n, 0)) as tp"), F.expr("sum(if(not x.is_gold and not same, n, 0)) as fp"), F.expr("sum(if(x.is_gold and not same, n, 0)) as fn"), F.expr("count_if(x.is_gold) as g"))
     return out.where("g > 0").select("label", "tp", "fp", "fn", F.expr("round(2.0d * tp / (2 * tp + fp + fn), 4) as f1"))
@@ -172,7 +181,7 @@ def ngram_model(spark, sf_dir):
         SELECT *, round(greatest(si, en, other) / n_tokens, 4) AS top_share, array_to_string(list_filter([CASE WHEN greatest(si, en, other) / n_tokens > 0.9 THEN 'bulk' END, CASE WHEN other > 0 THEN 'numbers' END, CASE WHEN n_tokens < 50 THEN 'short' END], lambda x: x IS NOT NULL), ';') AS issues FROM c""",
 )
 def label_audit(spark, sf_dir):
-    c = tagged_tokens(spark, sf_dir).groupBy("conv_id").agg(F.count("*").alias("n_tokens"), *[F.count_if(F.col("lang") == k).alias(k.lower()) for k in ("SI", "EN", "OTHER")])
+    c = labelled_tokens(spark, sf_dir).groupBy("conv_id").agg(F.count("*").alias("n_tokens"), *[F.count_if(F.col("lang") == k).alias(k.lower()) for k in ("SI", "EN", "OTHER")])
     top = F.greatest("si", "en", "other") / F.col("n_tokens")
     issues = F.array_compact(F.array(F.when(top > 0.9, "bulk"), F.when(F.col("other") > 0, "numbers"), F.when(F.col("n_tokens") < 50, "short")))
     return c.select("*", F.round(top, 4).alias("top_share"), F.array_join(issues, ";").alias("issues"))
@@ -333,7 +342,7 @@ def candidates(spark, sf_dir):
 
 @register("F9_languages", f"WITH {TOKENS}, {FREQ} SELECT conv_id, array_to_string(list_sort(list(DISTINCT lang)), '+') AS languages FROM tagged WHERE lang <> 'OTHER' GROUP BY conv_id")
 def languages(spark, sf_dir):
-    return tagged_tokens(spark, sf_dir).where("lang <> 'OTHER'").groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_set("lang")), "+").alias("languages"))
+    return labelled_tokens(spark, sf_dir).where("lang <> 'OTHER'").groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_set("lang")), "+").alias("languages"))
 
 
 DIGITS = "(VALUES ('901234567', NULL), ('199912345678', NULL), ('0771234567', 'PHONE'), ('94771234567', NULL), ('123456', 'ACCOUNT'), ('12345678901', 'AMOUNT'), ('123456789012345', NULL), ('07712345678', NULL), ('1234', NULL), ('9912345678', 'NIC'), ('905001234', NULL), ('200136612345', 'ACCOUNT'))"
