@@ -19,15 +19,20 @@ VOWELS = {"අ": "a", "ආ": "aa", "ඇ": "ae", "ඈ": "aee", "ඉ": "i", "ඊ":
 SIGNS = {"ා": "aa", "ැ": "ae", "ෑ": "aee", "ි": "i", "ී": "ii", "ු": "u", "ූ": "uu", "ෘ": "ru", "ෲ": "ruu", "ෙ": "e", "ේ": "ee", "ෛ": "ai", "ො": "o", "ෝ": "oo", "ෞ": "au", "ෟ": "lu"}
 SILENT, NASAL, BREATH = "්", {"ං": "ng"}, {"ඃ": "h"}
 # Titles and particles that are no part of a name.
-TITLES = ("mr", "mrs", "ms", "miss", "dr", "rev", "prof", "sir", "madam", "doctor", "professor", "eng", "engineer", "hon")
-PARTICLES = ("de", "da", "di", "du", "la", "le", "van", "von")
+TITLES = (
+    "mr", "mrs", "ms", "miss", "dr", "rev", "prof", "sir", "madam", "mahattaya", "mahaththaya", "nona", "mea", "maya", "aiya", "akka", "nangi", "malli",
+    "මහත්මයා", "මහතා", "මහත්මිය", "මිය", "මෙනවිය", "මිස්", "මිසිස්", "මිස්ටර්", "ඩොක්ටර්", "සර්", "මැඩම්", "අයියා", "අක්කා", "නංගි", "මල්ලි",
+    "doctor", "professor", "eng", "engineer", "hon", "ආචාර්ය", "මහාචාර්ය", "වෛද්‍ය", "ඉංජිනේරු", "ගරු", "ප්‍රොෆෙසර්",
+)
+PARTICLES = ("de", "da", "di", "du", "la", "le", "van", "von", "ද", "ඩි", "ඩී")
 # Keywords that say what a number is, in order of priority.
 CONTEXT = {
-    "NIC": r"\bnic\b|\bid (?:number|no\.?|eka)|\bidentity(?: card)?\b",
-    "ACCOUNT": r"\baccount\b|\bacc\.? ?no\b|\bcard\b|\breference\b|\bref\b|\bpolicy\b|\bcustomer (?:id|number)\b|\bbill\b|\bpassport\b|\binvoice\b",
-    "PHONE": r"\bphone\b|\bmobile\b|\bcontact\b|\bcall\b|\btel\b|\bwhatsapp\b|\bhotline\b",
-    "DOB": r"\bbirth|\bborn\b|\bdob\b|\bbirthday\b",
-    "AMOUNT": r"\brs\b\.?|\brupees\b|\blkr\b|\bamount\b|\bpaid\b|\bpayment\b|\bdebit\b|\bcredit\b|\btransaction\b",
+    "NIC": r"\bnic\b|\bid (?:number|no\.?|eka|එක)|\bidentity(?: card)?\b|හැඳුනුම්පත්|හැඳුනුම්",
+    "ACCOUNT": r"\baccount\b|\bacc\.? ?no\b|\bcard\b|\breference\b|\bref\b|\bpolicy\b|\bcustomer (?:id|number)\b|\bbill\b|ගිණුම්|ගිණුම"
+    r"|\bepf\b|\betf\b|\bemployee (?:id|number|no)\b|\bengine\b|\bchassis\b|\blicen[cs]e\b|\bpassport\b|\bcertificate\b|\bmembership\b|\bregistration\b|\binvoice\b|\btin\b",
+    "PHONE": r"\bphone\b|\bmobile\b|\bcontact\b|\bcall\b|\btel\b|\bwhatsapp\b|\bhotline\b|දුරකථන|ඇමතුම්|කෝල්|අමතන්න",
+    "DOB": r"\bbirth|\bborn\b|\bdob\b|\bbirthday\b|උපන්",
+    "AMOUNT": r"\brs\b\.?|\brupees\b|\brupiyal\b|රුපියල්|\blkr\b|\bamount\b|\bpaid\b|\bpayment\b|\bgewwa\b|ගෙව්වා|\bdebit\b|\bcredit\b|\btransaction\b",
 }
 SPOKEN = {"dot": ".", "at": "@", "underscore": "_", "dash": "-", "hyphen": "-"} | {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())}
 

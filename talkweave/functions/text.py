@@ -143,11 +143,11 @@ def valid_day(day: Column) -> Column:
 
 
 def is_old_nic(digits: Column) -> Column:
-    return (F.length(digits) == 9) & valid_day(F.substring(digits, 3, 3).cast("int"))
+    return (F.length(digits) == 9) & valid_day(F.substring(digits, 3, 3).try_cast("int"))
 
 
 def is_new_nic(digits: Column, year: int) -> Column:
-    return (F.length(digits) == 12) & F.substring(digits, 1, 4).cast("int").between(1900, year) & valid_day(F.substring(digits, 5, 3).cast("int"))
+    return (F.length(digits) == 12) & F.substring(digits, 1, 4).try_cast("int").between(1900, year) & valid_day(F.substring(digits, 5, 3).try_cast("int"))
 
 
 def local_phone(digits: Column) -> Column:

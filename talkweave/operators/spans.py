@@ -11,31 +11,31 @@ from pyspark.sql import functions as F
 FOUND = "array<struct<label:string,start:int,end:int,surface:string>>"
 
 
-def detected(docs: DataFrame, patterns: dict[str, str]) -> DataFrame:
-    """All matches of each label's pattern: doc_id, label, start, end (half-open), surface.
+def places(text: Column, label: str, pattern: str | Column) -> Column:
+    """An array of a pattern's matches in ``text``: label, start, end, surface. Offsets are running
+    lengths of the gaps between matches and of the matches; no text, no match."""
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
 
-    A text is read once for all labels and nothing is shuffled; offsets are running lengths of the
-    gaps between matches and of the matches.
-    """
-    text = F.col("text")
+    def step(acc, x):
+        start = acc["at"] + F.length(x["gap"])
+        end = start + F.length(x["hit"])
+        found = F.struct(F.lit(label).alias("label"), start.alias("start"), end.alias("end"), x["hit"].alias("surface"))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(found)).alias("out"))
 
-    def one(label: str, pattern: str) -> Column:
-        def step(acc, x):
-            start = acc["at"] + F.length(x["gap"])
-            end = start + F.length(x["hit"])
-            found = F.struct(F.lit(label).alias("label"), start.alias("start"), end.alias("end"), x["hit"].alias("surface"))
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(found)).alias("out"))
+    def placed(hits: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
+        parts = F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
+        return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(FOUND).alias("out")), step)["out"]
 
-        def placed(hits: Column) -> Column:
-            gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
-            parts = F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-            return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(FOUND).alias("out")), step)["out"]
+    # an array of one, so that the matches are looked for once
+    hits = F.array(F.regexp_extract_all(text, pattern, F.lit(0)))
+    return F.transform(hits, lambda h: F.when(F.size(h) > 0, placed(h)).otherwise(F.array().cast(FOUND)))[0]
 
-        # an array of one, so that the matches are looked for once
-        hits = F.array(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-        return F.transform(hits, lambda h: F.when(F.size(h) > 0, placed(h)).otherwise(F.array().cast(FOUND)))[0]
 
-    found = docs.select("doc_id", F.explode(F.concat(*[one(k, p) for k, p in patterns.items()])).alias("x"))
+def detected(docs: DataFrame, patterns: dict[str, str]) -> DataFrame:
+    """All matches of each label's pattern: doc_id, label, start, end (half-open), surface. A text is
+    read once for all labels and nothing is shuffled."""
+    found = docs.select("doc_id", F.explode(F.concat(*[places(F.col("text"), k, p) for k, p in patterns.items()])).alias("x"))
     return found.select("doc_id", "x.label", "x.start", "x.end", "x.surface")
 
 
@@ -106,15 +106,20 @@ def propagated_names(docs: DataFrame, found: DataFrame) -> DataFrame:
     return spans.select("doc_id", "start", "end", F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")).alias("surface"))
 
 
-def resolved(found: DataFrame, priority: list[str]) -> DataFrame:
-    """Spans that stay if the longest go first (then by label priority, then the earliest) and
-    each that overlaps one before it is dropped."""
-    rank = F.array_position(F.array(*[F.lit(p) for p in priority]), F.col("label"))
-    spans = F.array_sort(F.collect_list(F.struct((F.col("start") - F.col("end")).alias("o"), rank.alias("r"), "start", "end", "label", "surface")))
-    grouped = found.groupBy("doc_id").agg(spans.alias("spans"))
+def unoverlapped(grouped: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """keys and columns of each of ``spans``, in their order, that overlaps none kept before it."""
     kind = grouped.schema["spans"].dataType.simpleString()
     kept = F.aggregate("spans", F.array().cast(kind), lambda acc, x: F.when(F.exists(acc, lambda t: (t["start"] < x["end"]) & (x["start"] < t["end"])), acc).otherwise(F.concat(acc, F.array(x))))
-    return grouped.select("doc_id", F.explode(kept).alias("x")).select("doc_id", "x.label", "x.start", "x.end", "x.surface")
+    return grouped.select(*keys, F.explode(kept).alias("x")).select(*keys, *[f"x.{c}" for c in columns])
+
+
+def resolved(found: DataFrame, priority: list[str], carried: list[str] | None = None) -> DataFrame:
+    """Spans that stay if the longest go first (then by label priority, then the earliest) and
+    each that overlaps one before it is dropped; ``carried`` columns go along."""
+    rank = F.array_position(F.array(*[F.lit(p) for p in priority]), F.col("label"))
+    columns = ["label", "start", "end", "surface", *(carried or [])]
+    spans = F.array_sort(F.collect_list(F.struct((F.col("start") - F.col("end")).alias("o"), rank.alias("r"), "start", "end", "label", "surface", *(carried or []))))
+    return unoverlapped(found.groupBy("doc_id").agg(spans.alias("spans")), ["doc_id"], columns)
 
 
 def numbered(found: DataFrame, width: int = 1 << 16) -> DataFrame:

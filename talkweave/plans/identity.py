@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from talkweave.functions import identifiers as N
 from talkweave.functions import text as T
 from talkweave.operators import spans as S
+from talkweave.operators import structured as X
 from talkweave.plans.registry import load, register
 from talkweave.plans.relational import EMAIL, IP, LONG, SPANS, spans
 
@@ -116,12 +117,12 @@ def hybrid(spark, sf_dir):
     return r.select("doc_id", "start", F.lit("rule").alias("source")).unionByName(free.select("doc_id", "start", F.lit("model").alias("source")))
 
 
-@register("P15_propagate", f"WITH {SPANS}, k AS (SELECT DISTINCT d.source AS rid, surface FROM sp JOIN documents d USING (doc_id)) SELECT d.doc_id, k.surface FROM documents d JOIN k ON d.source = k.rid AND contains(d.text, k.surface)")
+@register("P15_propagate", rf"WITH {SPANS}, k AS (SELECT DISTINCT d.source AS rid, surface FROM sp JOIN documents d USING (doc_id)) SELECT d.doc_id, k.surface FROM documents d JOIN k ON d.source = k.rid AND contains(d.text, k.surface) AND regexp_matches(d.text, '(^|[^\p{{L}}\p{{N}}])' || regexp_escape(k.surface) || '($|[^\p{{L}}\p{{N}}])')")
 def propagate(spark, sf_dir):
-    """Documents of a source that hold a surface known in that source."""
-    d = load(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    known = spans(spark, sf_dir).join(d.select("doc_id", "source"), "doc_id").select("source", "surface").distinct()
-    return d.join(known, "source").where(F.contains("text", "surface")).select("doc_id", "surface")
+    """Documents of a source that hold a surface known in that source, outside longer words and numbers."""
+    d = load(spark, sf_dir, "documents").select(F.col("source").alias("rid"), "doc_id", "text")
+    known = spans(spark, sf_dir).join(d.select("rid", "doc_id"), "doc_id")
+    return X.known_places(d, known).select("doc_id", "surface").distinct()
 
 
 @register("P12_mapped_labels", f"WITH {SPANS}, m AS (SELECT * FROM (VALUES ('EMAIL', 'CONTACT'), ('ACCOUNT', 'NUMBER')) v(label, target)) SELECT doc_id, s AS start, target FROM sp JOIN m USING (label)")

@@ -39,7 +39,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def entries() -> dict[str, Entry]:
     """All entries; the modules that register them are imported here, since they import this one."""
-    from talkweave.plans import files, generated, identity, intervallic, relational, sequences, shared, speech, textual, timed  # noqa: F401
+    from talkweave.plans import files, generated, identity, intervallic, recordings, relational, sequences, shared, speech, textual, timed  # noqa: F401
 
     return _ENTRIES
 

@@ -32,24 +32,15 @@ shared("S19_release", """SELECT count(*) AS n_turns, count(DISTINCT conv_id) AS
 shared("E6_link_dates", """WITH d AS (SELECT * FROM (VALUES ('R', 1, '1990-08-22'), ('R', 2, '????-08-22'), ('R', 3, '????-01-01'), ('S', 4, '1990-08-22'), ('S', 5, '1991-08-22'), ('S', 6, '????-08-22')) AS t(rid, id, v)),
     f AS (SELECT rid, substring(v, 6, 5) AS md, min(v) AS full_v FROM d WHERE v NOT LIKE '?%' GROUP BY rid, substring(v, 6, 5) HAVING count(DISTINCT v) = 1)
     SELECT d.rid, d.id, CASE WHEN d.v LIKE '?%' THEN coalesce(f.full_v, d.v) ELSE d.v END AS value FROM d LEFT JOIN f ON d.rid = f.rid AND substring(d.v, 6, 5) = f.md""")
-shared("E9_link_scores", """WITH m AS (SELECT c_nationkey AS rec, c_custkey AS id, c_mktsegment AS gold, CASE WHEN c_custkey % 9 = 0 THEN 'X' ELSE c_mktsegment END AS pred FROM {customer})
-    SELECT a.rec, count(CASE WHEN a.gold = b.gold AND a.pred = b.pred THEN 1 END) AS tp, count(CASE WHEN a.gold <> b.gold AND a.pred = b.pred THEN 1 END) AS fp, count(CASE WHEN a.gold = b.gold AND a.pred <> b.pred THEN 1 END) AS fn
-    FROM m a JOIN m b ON a.rec = b.rec AND a.id < b.id GROUP BY a.rec""")
-shared("E10_threshold_grid", """WITH g AS (SELECT * FROM (VALUES (5), (10), (20), (40), (80)) AS t(th)), s AS (SELECT th, count(CASE WHEN (value >= th) = (event_type IN ('purchase', 'error')) THEN 1 END) AS hits FROM {events} CROSS JOIN g GROUP BY th),
-    r AS (SELECT th, hits, row_number() OVER (ORDER BY hits DESC, th) AS place FROM s) SELECT th, hits FROM r WHERE place = 1""")
 shared("R6_script_view", """SELECT user_id, bool_or(event_type = 'view') AS has_view, bool_or(event_type = 'error') AS has_error, bool_and(value > 1) AS all_large FROM {events} GROUP BY user_id""")
 shared("L13_out_of_fold", """WITH f AS (SELECT user_id % 5 AS fold, event_type, sum(value) AS s, count(*) AS n FROM {events} GROUP BY user_id % 5, event_type), t AS (SELECT event_type, sum(s) AS s, sum(n) AS n FROM f GROUP BY event_type)
     SELECT f.fold, f.event_type, round((t.s - f.s) / (t.n - f.n), 4) AS predicted FROM f JOIN t ON f.event_type = t.event_type""")
 shared("W11_by_script", "SELECT lang, count(*) AS n, round(avg(n_chars), 4) AS mean_chars FROM {documents} GROUP BY GROUPING SETS ((lang), ())")
-shared("W14_recall_by_tag", """WITH x AS (SELECT doc_id, quality, CASE WHEN toxic = 1 THEN 'toxic' ELSE 'none' END AS tag FROM {labels} UNION ALL SELECT doc_id, quality, 'even' FROM {labels} WHERE doc_id % 2 = 0)
-    SELECT tag, count(*) AS n, round(avg(CAST(quality AS DOUBLE)), 6) AS recall FROM x GROUP BY tag""")
 shared("W15_drift", """SELECT a.event_type, round(sum(abs(a.v - b.v)), 4) AS drift FROM (SELECT event_type, user_id, avg(value) AS v FROM {events} WHERE event_id % 2 = 0 GROUP BY event_type, user_id) a
     JOIN (SELECT event_type, user_id, avg(value) AS v FROM {events} WHERE event_id % 2 = 1 GROUP BY event_type, user_id) b ON a.event_type = b.event_type AND a.user_id = b.user_id GROUP BY a.event_type""")
 shared("I14_per_speaker", """WITH s AS (SELECT event_type AS ref, concat('h', CAST(user_id % 3 AS STRING)) AS hyp, value AS d FROM {events}), k AS (SELECT ref, hyp, sum(d) AS t FROM s GROUP BY ref, hyp), r AS (SELECT ref, hyp, t, row_number() OVER (PARTITION BY ref ORDER BY t DESC, hyp) AS place, sum(t) OVER (PARTITION BY ref) AS total FROM k)
     SELECT ref, hyp AS mostly, round(t / total, 6) AS share FROM r WHERE place = 1""")
 shared("V3_status_changes", "SELECT d.doc_id FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id WHERE (d.n_chars > 500) <> (l.quality = 1)")
-shared("V4_training_spans", """WITH s AS (SELECT * FROM (VALUES (1, 0, 5, 'hello', 'hello world'), (1, 0, 11, 'hello world', 'hello world'), (2, 3, 6, 'xyz', 'abcdef'), (3, 1, 3, 'bc', 'abcd')) AS t(doc, s, e, surface, txt)), v AS (SELECT * FROM s WHERE substring(txt, s + 1, e - s) = surface)
-    SELECT a.doc, a.s, a.e FROM v a WHERE NOT EXISTS (SELECT 1 FROM v b WHERE a.doc = b.doc AND b.s < a.e AND a.s < b.e AND b.e - b.s > a.e - a.s)""")
 shared("M4_insights", """WITH k AS (SELECT user_id, count(CASE WHEN event_type = 'error' THEN 1 END) AS e, count(*) AS n FROM {events} GROUP BY user_id) SELECT user_id, CASE WHEN e * 10 >= n * 3 THEN 'confusion' WHEN n < 5 THEN 'short' ELSE 'fine' END AS insight FROM k""")
 shared("M8_rescored", "SELECT d.doc_id, coalesce(l.quality, -1) AS score FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id")
 shared("M10_subsample", """WITH r AS (SELECT conv_id, row_number() OVER (ORDER BY (conv_id * 7919) % 10007, conv_id) AS place FROM (SELECT DISTINCT conv_id FROM {conversations}) c) SELECT c.conv_id, c.turn, false AS twin FROM {conversations} c JOIN r ON c.conv_id = r.conv_id WHERE place <= 20

@@ -182,17 +182,10 @@ def tokens_inside(tokens, clips):
     return inside.select("clip_id", F.col("event_id").alias("token"), (F.col("start") - began).alias("start"), (F.col("end") - began).alias("end"))
 
 
-@register("M1_clip_tokens", f"""WITH {SEG}, c AS (SELECT event_id AS clip_id, clip, s, s + 600000000 AS e FROM seg WHERE event_id % 50 = 0)
+@register("M1_clip_tokens", f"""WITH {SEG}, c AS (SELECT event_id AS clip_id, clip, s, s + 600000000 AS e FROM seg)
     SELECT c.clip_id, t.event_id AS token, t.s - c.s AS "start", t.e - c.s AS "end" FROM seg t JOIN c ON t.clip = c.clip AND t.s >= c.s - 50000 AND t.e <= c.e + 50000 WHERE t.e > t.s""")
 def clip_tokens(spark, sf_dir):
-    """The tokens of every fiftieth event's clip; M1_all_clip_tokens has those of all."""
-    s = segments(spark, sf_dir)
-    return tokens_inside(s, s.where("event_id % 50 = 0"))
-
-
-@register("M1_all_clip_tokens", f"""WITH {SEG}, c AS (SELECT event_id AS clip_id, clip, s, s + 600000000 AS e FROM seg)
-    SELECT c.clip_id, t.event_id AS token, t.s - c.s AS "start", t.e - c.s AS "end" FROM seg t JOIN c ON t.clip = c.clip AND t.s >= c.s - 50000 AND t.e <= c.e + 50000 WHERE t.e > t.s""")
-def all_clip_tokens(spark, sf_dir):
+    """The tokens of every event's clip."""
     s = segments(spark, sf_dir)
     return tokens_inside(s, s)
 

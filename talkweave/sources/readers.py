@@ -57,6 +57,24 @@ def translations(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("recording_id", "u.utt_id", F.nullif("u.clean_en", F.lit("")).alias("clean_en"), F.nullif("u.clean_si", F.lit("")).alias("clean_si"))
 
 
+def recordings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A split's texts (rid, doc_id, text) and spans (rid, doc_id, label, start, end, surface) from
+    its files <rid>.docs.jsonl and <rid>.pii.jsonl, which may be folders of parts."""
+    rid = lambda kind: F.regexp_extract("_metadata.file_path", rf"([^/]+)\.{kind}\.jsonl", 1).alias("rid")
+    docs = spark.read.schema("doc_id string, text string").json(f"{path}/*.docs.jsonl").select(rid("docs"), "doc_id", "text")
+    spans = spark.read.schema("doc_id string, label string, start_char int, end_char int, surface string").json(f"{path}/*.pii.jsonl")
+    return docs, spans.select(rid("pii"), "doc_id", "label", F.col("start_char").alias("start"), F.col("end_char").alias("end"), "surface")
+
+
+def staged(spark: SparkSession, rid: str, folders: dict[str, str], schema: str) -> DataFrame:
+    """One recording's JSON lines from loose folders, one for each layer, with the layer's name."""
+    found = [spark.read.schema(schema).json(f"{path}/{rid}.*.json").withColumn("layer", F.lit(layer)) for layer, path in folders.items()]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def inventory(spark: SparkSession, path: str, pattern: str, layers: list[str]) -> DataFrame:
     """One row for each id that the pattern finds in file names, a column of paths per layer (the
     pattern's groups are id and layer)."""

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import pickle
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -28,6 +28,23 @@ def utterances(events: DataFrame, late: str = "1 minute", pause: str = "600 mill
     return stream.groupBy("speaker", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n_tokens")).select("speaker", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n_tokens")
 
 
+def once(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Each event_id once: copies are known as long as they come within ``late`` of the first by their
+    own time, which is what bounds the state; a batch has no such limit."""
+    if not events.isStreaming:
+        return events.dropDuplicates(["event_id"])
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+
+
+def finalised(utterances: DataFrame, frame_s: float, least_s: float, silence_s: float, decode_s: Column) -> DataFrame:
+    """session, start, end (seconds), reason, latency of utterances (session, start, end, reason by
+    frames) of ``least_s`` or more: the text is out after decoding and, where a pause ended the
+    utterance, after that pause."""
+    u = utterances.withColumns({"start": F.col("start") * frame_s, "end": (F.col("end") + 1) * frame_s})
+    latency = decode_s + F.when(F.col("reason") == "pause", silence_s).otherwise(0.0)
+    return u.where(F.round(F.col("end") - F.col("start"), 6) >= least_s).select("session", F.round("start", 2).alias("start"), F.round("end", 2).alias("end"), "reason", F.round(latency, 2).alias("latency"))
+
+
 class Endpointer:
     """Frames of a voice detector to utterances: opens at p >= on, closes after ``quiet`` frames
     below it or at ``longest`` frames, with ``before`` frames of run-up; shorter than ``least``
