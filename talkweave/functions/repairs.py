@@ -25,7 +25,8 @@ def trimmed_digits(text: Column, seconds: Column) -> Column:
 def conjunct_starts(gold: DataFrame) -> DataFrame:
     """start: the beginnings of words, up to the letter after a joiner, in the texts of ``gold``."""
     words = gold.select(F.explode(F.split("text", r"\s+")).alias("w")).select(F.regexp_replace("w", r"^[.,?!:;\"'()]+|[.,?!:;\"'()]+$", "").alias("w")).where(F.contains("w", F.lit(SILENT + JOINER)))
-    at = F.transform(F.sequence(F.lit(1), F.size(F.split("w", JOINER, -1)) - 1), lambda k: F.concat(F.substring_index("w", JOINER, k), F.lit(JOINER), F.substring(F.element_at(F.split("w", JOINER, -1), k + 1), 1, 1)))
+    parts = F.split("w", JOINER, -1)
+    at = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.concat(F.array_join(F.slice(parts, F.lit(1), k), JOINER), F.lit(JOINER), F.substring(F.element_at(parts, k + 1), 1, 1)))
     return words.select(F.explode(at).alias("start")).where(F.col("start").rlike(f"{SILENT}{JOINER}.$")).distinct()
 
 
