@@ -126,19 +126,26 @@ def numbered(found: DataFrame, width: int = 1 << 16) -> DataFrame:
     """surface, label, placeholder: entities numbered per label by first appearance.
 
     A label may hold any number of entities, so no task sees all of one: entities are ranked within
-    buckets of ``width`` neighbouring documents (of a common prefix, where doc_id is no whole number),
-    and a running sum over one row per label and bucket gives what comes before each bucket.
+    buckets of ``width`` neighbouring documents, and a running sum over one row per label and bucket
+    gives what comes before each bucket. Where doc_id is no whole number, the ranks come from
+    range-sorted partitions, less the label's first.
     """
     from pyspark.sql.types import IntegralType
 
-    whole = isinstance(found.schema["doc_id"].dataType, IntegralType)
-    bucket = F.floor(F.col("f.doc_id") / width) if whole else F.substring(F.col("f.doc_id").cast("string"), 1, 4)
-    first = found.groupBy("surface", "label").agg(F.min(F.struct("doc_id", "start")).alias("f")).withColumn("bucket_", bucket)
-    sizes = first.groupBy("label", "bucket_").agg(F.count("*").alias("n_"))
-    before = F.sum("n_").over(Window.partitionBy("label").orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("label", F.col("bucket_"), F.coalesce(before, F.lit(0)).alias("before_"))
-    ranked = first.withColumn("rank_", F.row_number().over(Window.partitionBy("label", "bucket_").orderBy("f", "surface"))).join(offsets, ["label", "bucket_"])
-    n = F.col("before_") + F.col("rank_")
+    from talkweave.operators.ranks import ranked as globally
+
+    first = found.groupBy("surface", "label").agg(F.min(F.struct("doc_id", "start")).alias("f"))
+    if isinstance(found.schema["doc_id"].dataType, IntegralType):
+        first = first.withColumn("bucket_", F.floor(F.col("f.doc_id") / width))
+        sizes = first.groupBy("label", "bucket_").agg(F.count("*").alias("n_"))
+        before = F.sum("n_").over(Window.partitionBy("label").orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1))
+        offsets = sizes.select("label", F.col("bucket_"), F.coalesce(before, F.lit(0)).alias("before_"))
+        ranked = first.withColumn("rank_", F.row_number().over(Window.partitionBy("label", "bucket_").orderBy("f", "surface"))).join(offsets, ["label", "bucket_"])
+        n = F.col("before_") + F.col("rank_")
+    else:
+        ranked = globally(first, ["label", "f", "surface"], "rank_")
+        ranked = ranked.join(ranked.groupBy("label").agg(F.min("rank_").alias("least_")), "label")  # a row per label
+        n = F.col("rank_") - F.col("least_") + 1
     return ranked.select("surface", "label", F.concat(F.lit("["), "label", F.lit("_"), n.cast("string"), F.lit("]")).alias("placeholder"))
 
 
@@ -179,18 +186,27 @@ def scores(gold: DataFrame, pred: DataFrame) -> DataFrame:
     return j.groupingSets([["label"], []], "label").agg(F.expr("count_if(g = 1 and p = 1) as tp"), F.expr("count_if(p = 1 and g is null) as fp"), F.expr("count_if(g = 1 and p is null) as fn"))
 
 
+def set_classes(sets: DataFrame) -> DataFrame:
+    """id, class_id (the smallest id with the same tokens), tokens; rows without a set go."""
+    s = sets.where(F.col("set").isNotNull()).select("id", F.array_sort("set").alias("set"))
+    return s.join(s.groupBy("set").agg(F.min("id").alias("class_id")), "set").select("id", "class_id", F.col("set").alias("tokens"))
+
+
 def similar_sets(sets: DataFrame, least: float) -> DataFrame:
-    """Pairs (a < b) of ids whose distinct-token arrays have Jaccard similarity ``least`` or more.
+    """Pairs (a < b) of classes of equal token arrays (see set_classes) with Jaccard similarity
+    ``least`` or more; members of a class are never paired with one another.
 
     Tokens are ordered from the rarest; two sets that similar share a token among the first
     n - ceil(least * n) + 1 of each, so only those are joined, and pairs are verified.
     """
-    counts = sets.select(F.explode("set").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    ranked = sets.select("id", F.size("set").alias("n"), F.explode("set").alias("token")).join(counts, "token")
+    distinct = sets.where(F.size("set") > 0).groupBy(F.array_sort("set").alias("set")).agg(F.min("id").alias("id"))
+    counts = distinct.select(F.explode("set").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    ranked = distinct.select("id", F.size("set").alias("n"), F.explode("set").alias("token")).join(counts, "token")
     order = F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"])
     whole = ranked.groupBy("id", "n").agg(order.alias("tokens"))
     head = whole.select("id", "n", "tokens", F.explode(F.slice("tokens", F.lit(1), (F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).cast("int"))).alias("token"))
     a, b = head.select("token", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "tokens")]), head.select("token", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "tokens")])
-    met = a.join(b, "token").where("id_a < id_b and n_a >= 0.5 * n_b and n_b >= 0.5 * n_a" if least >= 0.5 else "id_a < id_b").dropDuplicates(["id_a", "id_b"])
+    near = (F.col("n_a") >= least * F.col("n_b")) & (F.col("n_b") >= least * F.col("n_a"))
+    met = a.join(b, "token").where((F.col("id_a") < F.col("id_b")) & near).dropDuplicates(["id_a", "id_b"])
     shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
     return met.withColumn("shared", shared).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), (F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("jaccard")).where(F.col("jaccard") >= least)

@@ -98,9 +98,20 @@ def _candidates(text: Column, preceding: Column) -> Column:
     said = F.transform(F.filter(D.number_runs_of_any(text), lambda x: F.length(x["digits"]) >= 4), lambda x: F.struct(
         F.when(x["doubtful"], "SAID?").otherwise("SAID").alias("label"), x["start"].alias("start"), x["end"].alias("end"), x["digits"].alias("surface"),
     ))
-    patterns = {"EMAIL": EMAIL, "DOTTED": DOTTED, "REF": REFERENCE, "EXT": EXTENSION, "ORDINAL": ORDINAL, "SPELLED": S.SPOKEN_EMAIL, **{k: p for k, (p, _) in DATES.items()}}
-    patterns |= {f"CUE{k}": p for k, (_, p) in enumerate(S.ANCHORED)}
-    found = F.concat(runs, said, *[S.places(text, k, p) for k, p in patterns.items()])
+    # most texts hold no digit, at sign or spelled-out dot, and are spared the patterns that need one
+    numeric = {"DOTTED": DOTTED, "REF": REFERENCE, "EXT": EXTENSION, "ORDINAL": ORDINAL, **{k: p for k, (p, _) in DATES.items()}}
+    cues = {f"CUE{k}": p for k, (_, p) in enumerate(S.ANCHORED)}
+
+    def where(holds: Column, *arrays: Column) -> Column:
+        return F.when(holds, F.concat(*arrays)).otherwise(F.array().cast(S.FOUND))
+
+    found = F.concat(
+        said,
+        where(text.rlike("[0-9]"), runs, *[S.places(text, k, p) for k, p in numeric.items()]),
+        where(F.contains(text, F.lit("@")), S.places(text, "EMAIL", EMAIL)),
+        where(text.rlike(r"(?i)\sdot\s"), S.places(text, "SPELLED", S.SPOKEN_EMAIL)),
+        *[S.places(text, k, p) for k, p in cues.items()],
+    )
     size = lambda t: F.size(F.filter(F.split(t, r"(?U)\s+", -1), lambda w: w != ""))
 
     def around(x):

@@ -91,7 +91,7 @@ def voice_frames(spark, sf_dir):
     from pyspark.sql import Window
 
     e = load(spark, sf_dir, "events")
-    return e.select(F.col("event_type").alias("session"), (F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1).cast("long").alias("frame"), F.when(F.col("value") >= 20, 1.0).otherwise(0.0).alias("p"))
+    return e.select(F.col("user_id").cast("string").alias("session"), (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).cast("long").alias("frame"), F.when(F.col("value") >= 20, 1.0).otherwise(0.0).alias("p"))
 
 
 @register("X1_endpoints")

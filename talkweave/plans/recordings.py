@@ -114,6 +114,17 @@ def recall_by_tag(spark, sf_dir):
     return V.recall_by_tag(g.withColumn("tags", tags), g.where("doc_id % 7 <> 0").withColumn("end", F.col("end") - (F.col("doc_id") % 5 == 0).cast("int")))
 
 
+@register("M10_subsample", """WITH r AS (SELECT conv_id, row_number() OVER (ORDER BY (conv_id * 7919) % 10007, conv_id) AS place FROM (SELECT DISTINCT conv_id FROM conversations) c), x AS (SELECT c.* FROM conversations c JOIN r ON c.conv_id = r.conv_id WHERE place <= 20)
+    SELECT conv_id, turn, text, false AS twin FROM x UNION ALL SELECT conv_id, turn, lower(text), true FROM x WHERE role = 'user'""")
+def subsample(spark, sf_dir):
+    """The feature is a sample: twenty whole recordings by a hash, and a changed twin of each user's turn."""
+    c = load(spark, sf_dir, "conversations")
+    chosen = c.select("conv_id").distinct().orderBy(F.col("conv_id") * 7919 % 10007, "conv_id").limit(20)
+    x = c.join(F.broadcast(chosen), "conv_id")
+    twins = x.where("role = 'user'").select("conv_id", "turn", F.lower("text").alias("text"), F.lit(True).alias("twin"))
+    return x.select("conv_id", "turn", "text", F.lit(False).alias("twin")).unionByName(twins)
+
+
 _WORDS = r"SELECT lang AS label, lower(w) AS word FROM (SELECT lang, unnest(regexp_extract_all(text, '[\p{L}\p{N}]+')) AS w FROM documents)"
 
 

@@ -103,11 +103,23 @@ def entity_key(spark, sf_dir):
     return spans(spark, sf_dir).select("label", key.alias("key")).distinct()
 
 
-@register("E12_similar_turns", r"WITH d AS (SELECT DISTINCT conv_id * 1000 + turn AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM conversations), n AS (SELECT id, count(*) AS n FROM d GROUP BY id), p AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM d a JOIN d b ON a.w = b.w AND a.id < b.id GROUP BY ALL) SELECT a, b, round(c / (x.n + y.n - c), 6) AS jaccard FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c / (x.n + y.n - c) >= 0.5")
+_SETS = r"w AS (SELECT conv_id * 1000 + turn AS id, list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS ws FROM conversations WHERE text IS NOT NULL), k AS (SELECT ws, min(id) AS id FROM w GROUP BY ws)"
+
+
+def turn_sets(spark, sf_dir):
+    return load(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.array_distinct(T.words(F.lower("text"))).alias("set"))
+
+
+@register("E12_similar_turns", f"WITH {_SETS}, d AS (SELECT id, unnest(ws) AS w FROM k), p AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM d a JOIN d b ON a.w = b.w AND a.id < b.id GROUP BY ALL) SELECT a, b, round(c / (len(x.ws) + len(y.ws) - c), 6) AS jaccard FROM p JOIN k x ON x.id = a JOIN k y ON y.id = b WHERE c / (len(x.ws) + len(y.ws) - c) >= 0.5")
 def similar_turns(spark, sf_dir):
-    """Pairs of turns with token sets of Jaccard similarity 0.5 or more, by rarest-token prefixes."""
-    ids = load(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.array_distinct(T.words(F.lower("text"))).alias("set"))
-    return S.similar_sets(ids, 0.5).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    """Pairs of different token sets of Jaccard similarity 0.5 or more, each by the first turn that has
+    it; E12_turn_classes says which turns share a set."""
+    return S.similar_sets(turn_sets(spark, sf_dir), 0.5).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
+@register("E12_turn_classes", f"WITH {_SETS} SELECT w.id, k.id AS class_id FROM w JOIN k ON w.ws = k.ws")
+def turn_classes(spark, sf_dir):
+    return S.set_classes(turn_sets(spark, sf_dir)).select("id", "class_id")
 
 
 @register("W1_char_error", "SELECT a.doc_id, round(levenshtein(substring(a.source, 1, 20), substring(a.lang || a.source, 1, 20)) / length(a.source), 6) AS cer FROM documents a")

@@ -43,8 +43,6 @@ shared("I14_per_speaker", """WITH s AS (SELECT event_type AS ref, concat('h', CA
 shared("V3_status_changes", "SELECT d.doc_id FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id WHERE (d.n_chars > 500) <> (l.quality = 1)")
 shared("M4_insights", """WITH k AS (SELECT user_id, count(CASE WHEN event_type = 'error' THEN 1 END) AS e, count(*) AS n FROM {events} GROUP BY user_id) SELECT user_id, CASE WHEN e * 10 >= n * 3 THEN 'confusion' WHEN n < 5 THEN 'short' ELSE 'fine' END AS insight FROM k""")
 shared("M8_rescored", "SELECT d.doc_id, coalesce(l.quality, -1) AS score FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id")
-shared("M10_subsample", """WITH r AS (SELECT conv_id, row_number() OVER (ORDER BY (conv_id * 7919) % 10007, conv_id) AS place FROM (SELECT DISTINCT conv_id FROM {conversations}) c) SELECT c.conv_id, c.turn, false AS twin FROM {conversations} c JOIN r ON c.conv_id = r.conv_id WHERE place <= 20
-    UNION ALL SELECT c.conv_id, c.turn, true FROM {conversations} c JOIN r ON c.conv_id = r.conv_id WHERE place <= 20 AND role = 'user'""")
 shared("M11_hypothesis_over_gold", "SELECT c.conv_id, c.turn, coalesce(h.text, c.text) AS text FROM {conversations} c LEFT JOIN (SELECT conv_id, turn, concat('h: ', text) AS text FROM {conversations} WHERE turn % 2 = 0) h ON c.conv_id = h.conv_id AND c.turn = h.turn")
 shared("M12_lexicon", "SELECT lower(n_name) AS word FROM {nation} EXCEPT SELECT lower(r_name) FROM {region}")
 shared("M15_reference_drift", """SELECT a.event_type, a.arm, round(a.v - b.v, 6) AS diff FROM (SELECT event_type, user_id % 3 AS arm, avg(value) AS v FROM {events} GROUP BY event_type, user_id % 3) a JOIN (SELECT event_type, avg(value) AS v FROM {events} WHERE user_id % 3 = 0 GROUP BY event_type) b ON a.event_type = b.event_type WHERE a.arm <> 0""")
