@@ -37,12 +37,19 @@ def identifiers(spark, sf_dir):
 def recordings(spark, sf_dir):
     """Texts with placeholders for all identifiers, those found elsewhere in their recording included."""
     t = turns(spark, sf_dir)
-    found = X.identified(t, YEAR).join(t.select("rid", "doc_id"), "doc_id")
-    all_ = X.propagated(t, found, F.col("role") != "ORGANISATION")
+    found = _written(spark, X.identified(t, YEAR).join(t.select("rid", "doc_id"), "doc_id"), "identifiers")
+    all_ = _written(spark, X.propagated(t, found, F.col("role") != "ORGANISATION"), "propagated")
     named = all_.join(S.numbered(all_), ["surface", "label"])
     return S.redacted(t, named).select("doc_id", "redacted", F.size("replacements").alias("n"))
 
 
+def _written(spark, df, name):
+    """df by way of a table, so that what several plans read is computed once."""
+    path = scratch(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 LINES = "(VALUES (1, 'ට් රාන්ස්පෝට් එක'), (2, 'අවශ් යතාවය (වෛද් ය.'), (3, 'මෝටර් රථ'), (4, ''), (5, NULL), (6, 'නිවේදනයක් යවමුද අවශ් ය'))"
 
 

@@ -105,7 +105,7 @@ def test_every_event_is_a_clip(spark, sf_dir):
 
     rows = [(r["event_id"], r["clip"], r["start"], r["end"]) for r in intervallic.segments(spark, sf_dir).collect()]
     want = sorted((c, t, s - at, e - at) for c, day, at, _ in rows for t, d, s, e in rows if d == day and e > s and s >= at - 50_000 and e <= at + 600_050_000)
-    got = sorted(tuple(r) for r in registry.queries()["M1_all_clip_tokens"](spark, sf_dir).select("clip_id", "token", "start", "end").collect())
+    got = sorted(tuple(r) for r in registry.queries()["M1_clip_tokens"](spark, sf_dir).select("clip_id", "token", "start", "end").collect())
     assert got == want and {i for i, _, s, e in rows if 0 < e - s <= 600_000_000} <= {c for c, *_ in got}
 
 
