@@ -143,3 +143,37 @@ def test_recordings_hold_no_identifier_they_hid(spark, sf_dir):
     assert len(texts) == t.count()
     hidden = [(r["doc_id"], r["surface"]) for r in found.collect()]
     assert hidden and not [x for x in hidden if len(x[1]) >= 10 and x[1] in texts[x[0]]]
+
+
+def test_pairs_are_counted_as_if_formed(spark):
+    import itertools
+    import random
+
+    from talkweave.operators import evaluation as V
+
+    r = random.Random(4)
+    rows = [(r.randrange(3), r.choice(["a", "b", None]), r.choice(["x", "y", "z", None])) for _ in range(60)] + [(9, None, None)]
+    want = {}
+    for rec in {x[0] for x in rows}:
+        tp = fp = fn = 0
+        for a, b in itertools.combinations([x for x in rows if x[0] == rec], 2):
+            gold, pred = a[1] is not None and a[1] == b[1], a[2] is not None and a[2] == b[2]
+            tp, fp, fn = tp + (gold and pred), fp + (pred and not gold), fn + (gold and not pred)
+        want[rec] = (tp, fp, fn)
+    df = spark.createDataFrame(rows, "rec int, gold string, pred string")
+    assert {x["rec"]: (x["tp"], x["fp"], x["fn"]) for x in V.link_scores(df).collect()} == want
+    assert V.link_scores(df.limit(0)).count() == 0
+
+
+def test_thresholds_and_digits_at_the_edges(spark):
+    from talkweave.functions import repairs as P
+    from talkweave.operators import evaluation as V
+
+    scored = spark.createDataFrame([(1.0, False), (2.0, True), (3.0, True), (None, True), (2.5, None)], "score double, label boolean")
+    assert tuple(V.best_threshold(scored, [3.0, 1.5, 2.0, 1.0]).first()) == (1.5, 3)
+    assert V.best_threshold(scored.limit(0), [3.0, 1.5]).first()["hits"] == 0
+    rows = [("12345 a 6", 0.5), ("1 2 3 4", 0.0), ("", 1.0), (None, 1.0), ("99 9", None), ("  x  ", 1.0)]
+    got = [x[0] for x in spark.createDataFrame(rows, "t string, s double").select(P.trimmed_digits(F.col("t"), F.col("s"))).collect()]
+    assert got == ["12345 a", "1 2", "", None, "99", "x"]
+    folds = spark.createDataFrame([("k", 0, "a"), ("k", 1, "b"), ("k", 1, "b"), ("m", 0, "a")], "key string, fold int, label string")
+    assert sorted((x["key"], x["fold"], x["predicted"]) for x in V.out_of_fold(folds, "fold", "key", "label").collect() if x["predicted"]) == [("k", 0, "b"), ("k", 1, "a"), ("k", 1, "a")]
