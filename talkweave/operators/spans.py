@@ -190,23 +190,3 @@ def set_classes(sets: DataFrame) -> DataFrame:
     """id, class_id (the smallest id with the same tokens), tokens; rows without a set go."""
     s = sets.where(F.col("set").isNotNull()).select("id", F.array_sort("set").alias("set"))
     return s.join(s.groupBy("set").agg(F.min("id").alias("class_id")), "set").select("id", "class_id", F.col("set").alias("tokens"))
-
-
-def similar_sets(sets: DataFrame, least: float) -> DataFrame:
-    """Pairs (a < b) of classes of equal token arrays (see set_classes) with Jaccard similarity
-    ``least`` or more; members of a class are never paired with one another.
-
-    Tokens are ordered from the rarest; two sets that similar share a token among the first
-    n - ceil(least * n) + 1 of each, so only those are joined, and pairs are verified.
-    """
-    distinct = sets.where(F.size("set") > 0).groupBy(F.array_sort("set").alias("set")).agg(F.min("id").alias("id"))
-    counts = distinct.select(F.explode("set").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    ranked = distinct.select("id", F.size("set").alias("n"), F.explode("set").alias("token")).join(counts, "token")
-    order = F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"])
-    whole = ranked.groupBy("id", "n").agg(order.alias("tokens"))
-    head = whole.select("id", "n", "tokens", F.explode(F.slice("tokens", F.lit(1), (F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).cast("int"))).alias("token"))
-    a, b = head.select("token", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "tokens")]), head.select("token", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "tokens")])
-    near = (F.col("n_a") >= least * F.col("n_b")) & (F.col("n_b") >= least * F.col("n_a"))
-    met = a.join(b, "token").where((F.col("id_a") < F.col("id_b")) & near).dropDuplicates(["id_a", "id_b"])
-    shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    return met.withColumn("shared", shared).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), (F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("jaccard")).where(F.col("jaccard") >= least)

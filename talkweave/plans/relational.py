@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from talkweave.functions import text as T
+from talkweave.operators import similarity as J
 from talkweave.operators import spans as S
 from talkweave.operators.ranks import ranked
 from talkweave.plans.registry import load, register
@@ -114,7 +115,7 @@ def turn_sets(spark, sf_dir):
 def similar_turns(spark, sf_dir):
     """Pairs of different token sets of Jaccard similarity 0.5 or more, each by the first turn that has
     it; E12_turn_classes says which turns share a set."""
-    return S.similar_sets(turn_sets(spark, sf_dir), 0.5).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    return J.similar_sets(turn_sets(spark, sf_dir), 0.5).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 @register("E12_turn_classes", f"WITH {_SETS} SELECT w.id, k.id AS class_id FROM w JOIN k ON w.ws = k.ws")
