@@ -27,6 +27,107 @@ def range_join(left: DataFrame, right: DataFrame, keys: list[str], width: float)
     return a.join(b, [*keys, "bucket_"]).where(meet & first).drop("bucket_")
 
 
+def best_overlaps(left: DataFrame, right: DataFrame, keys: list[str], width: int, who: str) -> DataFrame:
+    """id and ``who`` of the row of right that shares the longest time with each id of left, ties to
+    the earlier start, then the smaller other_id; ids that meet no row go.
+
+    left: keys, id, start, end; right: keys, other_id, other_start, other_end and who, times whole
+    numbers. No pair is formed: in each bucket that a row touches, the best of the bucket is looked
+    up in sorted orders, so the work is n log^2 n however many rows overlap. A bucket may be much
+    wider than an interval, which then is rarely dealt twice.
+    """
+    bucket = lambda x: F.floor(x / F.lit(width)).cast("long")
+    dealt = lambda a, b: F.explode(F.sequence(bucket(F.col(a)), bucket(F.col(b)))).alias("bucket_")
+    a = left.select(*keys, dealt("start", "end"), "id", "start", "end", F.lit(None).cast(right.schema[who].dataType).alias(who), F.lit(True).alias("asks"))
+    b = right.select(*keys, dealt("other_start", "other_end"), F.coalesce("other_id", F.lit((1 << 63) - 1)).alias("id"), F.col("other_start").alias("start"), F.col("other_end").alias("end"), who, F.lit(False).alias("asks"))
+    kinds = {c: left.schema[c].dataType.simpleString() for c in keys} | {"id": left.schema["id"].dataType.simpleString()}
+
+    def best(rows):
+        import pyarrow as pa
+
+        asks = rows["asks"].to_numpy()
+        ask, offer = rows.filter(pa.array(asks)), rows.filter(pa.array(~asks))
+        start, end, other_start, other_end, other_id = (t[c].to_numpy() for t, c in ((ask, "start"), (ask, "end"), (offer, "start"), (offer, "end"), (offer, "id")))
+        at = _best_of(start, end, other_start, other_end, other_id)
+        met = at >= 0
+        at = at[met]
+        shared = _shared(start[met], end[met], other_start[at], other_end[at])
+        return pa.table({"id": ask["id"].filter(pa.array(met)), "shared": pa.array(shared), "start": pa.array(other_start[at]), "other": pa.array(other_id[at]), who: offer[who].take(pa.array(at))})
+
+    schema = f"id {kinds['id']}, shared long, start long, other long, `{who}` {right.schema[who].dataType.simpleString()}"
+    found = a.unionByName(b).groupBy(*keys, "bucket_").applyInArrow(best, schema)
+    return found.groupBy("id").agg(F.max_by(who, F.struct("shared", -F.col("start"), -F.col("other"))).alias(who))
+
+
+def _shared(start, end, other_start, other_end):
+    import numpy as np
+
+    return np.minimum(end, other_end) - np.maximum(start, other_start)
+
+
+def _best_of(start, end, other_start, other_end, other_id):
+    """For each [start, end) the index of the other interval that shares most with it (ties: the
+    earlier start, the smaller id), or -1 if it meets none.
+
+    An interval that ends no sooner shares the more the earlier it starts; one that starts no later
+    and ends sooner, the later it ends; one inside, all of its length. So there are three winners.
+    """
+    import numpy as np
+
+    best, most = np.full(len(start), -1), np.zeros(len(start), np.int64)
+    if not len(start) or not len(other_start):
+        return best
+
+    def offer(rows, at):
+        meets = (start[rows] < other_end[at]) & (other_start[at] < end[rows])
+        rows, at = rows[meets], at[meets]
+        shared, old = _shared(start[rows], end[rows], other_start[at], other_end[at]), best[rows]
+        earlier = (other_start[at] < other_start[old]) | ((other_start[at] == other_start[old]) & (other_id[at] < other_id[old]))
+        wins = (old < 0) | (shared > most[rows]) | ((shared == most[rows]) & earlier)
+        best[rows[wins]], most[rows[wins]] = at[wins], shared[wins]
+
+    n, every = len(other_start), np.arange(len(start))
+    by_start = np.lexsort((other_id, other_start))
+    place = np.argsort(by_start)
+    by_end = np.argsort(other_end, kind="stable")
+    earliest = np.minimum.accumulate(place[by_end][::-1])[::-1]
+    at = np.searchsorted(other_end[by_end], np.where(end > start, end, start + 1), "left")
+    offer(every[at < n], by_start[earliest[at[at < n]]])
+
+    late = np.lexsort((-other_id, -other_start, other_end))
+    latest = np.maximum.accumulate(np.argsort(late)[by_start])
+    at = np.searchsorted(other_start[by_start], start, "right")
+    offer(every[at > 0], late[latest[at[at > 0] - 1]])
+
+    part = every[(end > start) & ((best < 0) | (most < end - start))]
+    low, high = np.minimum(other_start, other_end), np.maximum(other_start, other_end)
+    by_low, long = np.argsort(low, kind="stable"), np.lexsort((other_id, other_start, other_start - other_end))
+    rank, height = np.argsort(long)[by_low], np.argsort(np.argsort(high, kind="stable"), kind="stable")[by_low]
+    first = np.searchsorted(low[by_low], start[part], "right")
+    under = np.searchsorted(np.sort(high), end[part], "left")
+    size = 1 << max(0, int(n - 1).bit_length())
+    rank, height = (np.concatenate([x, np.full(size - n, size)]) for x in (rank, height))
+    longest = np.full(len(part), size)
+    k = 0
+    while (1 << k) <= size and len(part):
+        # blocks of 2^k in the order of low; the rest of the order from ``first`` is one block for each bit
+        asks = np.flatnonzero((first < size) & ((first >> k) & 1 == 1)) if (1 << k) < size else np.flatnonzero(first == 0)
+        if len(asks):
+            block = np.arange(size) >> k
+            key = block * (size + 1) + height
+            order = np.argsort(key, kind="stable")
+            least = np.minimum.accumulate(rank[order].reshape(-1, 1 << k), axis=1).ravel()
+            mine = first[asks] >> k
+            at = np.searchsorted(key[order], mine * (size + 1) + under[asks], "left")
+            some = at > mine << k
+            longest[asks[some]] = np.minimum(longest[asks[some]], least[at[some] - 1])
+            first[asks] += 1 << k
+        k += 1
+    some = longest < n
+    offer(part[some], long[longest[some]])
+    return best
+
+
 def islands(spans: DataFrame, keys: list[str], gap: float = 0.0) -> DataFrame:
     """Union of intervals per key; those at most ``gap`` apart become one."""
     order = Window.partitionBy(*keys).orderBy("start", "end")

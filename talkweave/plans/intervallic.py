@@ -144,9 +144,8 @@ def talk_time(spark, sf_dir):
 )
 def align_by_overlap(spark, sf_dir):
     """For each segment the hypothesis segment of largest overlap, ties to the earlier one."""
-    pairs = I.range_join(segments(spark, sf_dir), _other(hypothesis(spark, sf_dir)), ["clip"], 200 * SECOND)
-    shared = F.least("end", "other_end") - F.greatest("start", "other_start")
-    return pairs.groupBy("event_id").agg(F.max_by("other_speaker", F.struct(shared, -F.col("other_start"), -F.col("other_id"))).alias("aligned"))
+    s = segments(spark, sf_dir).withColumnRenamed("event_id", "id")
+    return I.best_overlaps(s, _other(hypothesis(spark, sf_dir)), ["clip"], 4 * 3600 * SECOND, "other_speaker").select(F.col("id").alias("event_id"), F.col("other_speaker").alias("aligned"))
 
 
 @register("W7_speaker_at", f"WITH {SEG}, q AS (SELECT clip, min(s) + i * 3600000000 AS t FROM seg, range(0, 24) r(i) GROUP BY clip, i), n AS (SELECT q.clip, t, speaker, row_number() OVER (PARTITION BY q.clip, t ORDER BY greatest(s - t, t - e, 0), s, event_id) AS rn FROM q JOIN seg ON seg.clip = q.clip) SELECT clip, t, speaker FROM n WHERE rn = 1")

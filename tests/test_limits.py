@@ -1,14 +1,16 @@
 """Joins of pairs against brute force, and what they shuffle in proportion to their input."""
 
+import datetime
 import random
 
+import numpy as np
 import pytest
 
-from talkweave.operators import similarity
+from talkweave.operators import intervals, similarity
 
 
 def shuffled(spark, run) -> int:
-    """Bytes that a call's stages write to shuffles."""
+    """Bytes that a call's stages write to shuffles if no table is small enough to be broadcast."""
     sc = spark.sparkContext._jsc.sc()
 
     def written():
@@ -17,7 +19,11 @@ def shuffled(spark, run) -> int:
         return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
 
     before = written()
-    run()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        run()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     return written() - before
 
 
@@ -68,3 +74,31 @@ def test_similar_turns_shuffle_no_candidates(spark, tmp_path):
     rows = [(i, 0, "user", " ".join(r.sample([f"word{k}" for k in range(400)], 60))) for i in range(1500)]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert shuffled(spark, lambda: registry.queries()["E12_similar_turns"](spark, str(tmp_path)).collect()) < 2 * sum(len(x[3]) for x in rows)
+
+
+def events(spark, path: str, n: int, longest: float) -> None:
+    """n events of one day, each of up to ``longest`` seconds."""
+    r = random.Random(7)
+    day = datetime.datetime(2024, 1, 1)
+    rows = [(i, day + datetime.timedelta(seconds=r.randint(0, 60_000)), i % 7, r.choice(["view", "error"]), r.uniform(0, longest / 10)) for i in range(n)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"{path}/events.parquet")
+
+
+def test_best_of_overlaps_against_brute_force():
+    """Empty, reversed, equal and touching intervals too."""
+    r = np.random.default_rng(1)
+    for _ in range(1500):
+        n, m, t = r.integers(0, 9), r.integers(0, 20), r.choice([6, 20, 1000])
+        start, other_start, ids = r.integers(0, t, n), r.integers(0, t, m), r.permutation(m)
+        end, other_end = start + r.integers(-2, t // 2, n), other_start + r.integers(-2, t // 2, m)
+        got = intervals._best_of(start, end, other_start, other_end, ids)
+        for i in range(n):
+            met = [(max(start[i], other_start[j]) - min(end[i], other_end[j]), other_start[j], ids[j], j) for j in range(m) if start[i] < other_end[j] and other_start[j] < end[i]]
+            assert got[i] == (min(met)[3] if met else -1)
+
+
+def test_align_by_overlap_deals_long_events_few_times(spark, tmp_path):
+    from talkweave.plans import registry
+
+    events(spark, str(tmp_path), 3000, 20_000)
+    assert shuffled(spark, lambda: registry.queries()["L7_align_by_overlap"](spark, str(tmp_path)).collect()) < 300 * 3000
