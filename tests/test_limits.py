@@ -102,3 +102,21 @@ def test_align_by_overlap_deals_long_events_few_times(spark, tmp_path):
 
     events(spark, str(tmp_path), 3000, 20_000)
     assert shuffled(spark, lambda: registry.queries()["L7_align_by_overlap"](spark, str(tmp_path)).collect()) < 300 * 3000
+
+
+def test_inside_join_against_brute_force(spark):
+    r = np.random.default_rng(3)
+    a = [(int(k), i, int(s), int(s + d)) for i, (k, s, d) in enumerate(zip(r.integers(0, 3, 80), r.integers(0, 300, 80), r.integers(-2, 40, 80)))]
+    b = [(int(k), i, int(s), int(s + d)) for i, (k, s, d) in enumerate(zip(r.integers(0, 3, 60), r.integers(0, 300, 60), r.integers(0, 90, 60)))]
+    left, right = spark.createDataFrame(a, "k int, i int, start int, end int"), spark.createDataFrame(b, "k int, j int, other_start int, other_end int")
+    for width in (7, 50, 1000):
+        got = sorted((x["i"], x["j"]) for x in intervals.inside_join(left, right, ["k"], width).collect())
+        assert got == sorted((i, j) for k, i, s, e in a for q, j, t, f in b if k == q and t <= s <= e <= f)
+
+
+def test_clip_tokens_deal_each_token_once(spark, tmp_path):
+    """Tokens too long for any clip are not shuffled, the others once, however many buckets they touch."""
+    from talkweave.plans import registry
+
+    events(spark, str(tmp_path), 3000, 20_000)
+    assert shuffled(spark, lambda: registry.queries()["M1_clip_tokens"](spark, str(tmp_path)).collect()) < 60 * 3000
