@@ -120,3 +120,11 @@ def test_clip_tokens_deal_each_token_once(spark, tmp_path):
 
     events(spark, str(tmp_path), 3000, 20_000)
     assert shuffled(spark, lambda: registry.queries()["M1_clip_tokens"](spark, str(tmp_path)).collect()) < 60 * 3000
+
+
+def test_intersection_deals_events_few_times(spark, tmp_path):
+    from talkweave.plans import registry
+
+    events(spark, str(tmp_path), 3000, 5600)
+    run = lambda: registry.queries()["I5_intersection"](spark, str(tmp_path)).write.format("noop").mode("overwrite").save()
+    assert shuffled(spark, run) < 200 * 3000
