@@ -42,11 +42,12 @@ def similar_sets(sets: DataFrame, least: float, block: int = BLOCK) -> DataFrame
     parts = max(8, -(-rows // block))
     path = scratch(spark, "similar-blocks")
     distinct.repartitionByRange(parts, "n", "id").mapInArrow(_packing(counts["bucket"].to_numpy(), counts["n"].to_numpy(), block), "lo int, hi int, ids binary, sizes binary, codes binary, bits binary").write.option("compression", "none").parquet(path)
-    blocks = sorted((r["lo"], r["hi"], r["file"], r["row"]) for r in spark.read.parquet(path).select("lo", "hi", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).collect())
-    meet = [(*a[2:], *b[2:]) for i, a in enumerate(blocks) for b in blocks[i:] if a[1] >= least * b[0]]
-    kind = "file_a string, row_a long, file_b string, row_b long"
+    blocks = spark.read.parquet(path).select("lo", "hi", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).toPandas()
+    blocks = spark.createDataFrame([(i, *map(int, x[:2]), x[2], int(x[3])) for i, x in enumerate(sorted(blocks.itertuples(index=False, name=None)))], "i int, lo int, hi int, file string, row long")
+    a, b = blocks.select("i", "hi", F.col("file").alias("file_a"), F.col("row").alias("row_a")), blocks.select(F.col("i").alias("j"), "lo", F.col("file").alias("file_b"), F.col("row").alias("row_b"))
+    meet = a.join(F.broadcast(b), (F.col("i") <= F.col("j")) & (F.col("hi") >= F.col("lo") * least)).select("file_a", "row_a", "file_b", "row_b")
     found = scratch(spark, "similar-pairs")
-    tasks = spark.createDataFrame(meet, kind).repartition(max(1, min(len(meet), 4096)))
+    tasks = meet.repartition(max(1, min(parts * (parts + 1) // 2, 4096)))
     tasks.mapInArrow(_joining(least), "a long, b long").write.parquet(found)
     _remove(spark, path)
 
