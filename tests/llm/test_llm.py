@@ -328,6 +328,31 @@ def test_neighbours_in_many_units(spark, monkeypatch):
     assert recall(table(spark, "/root/testdata/sf0.01", "embeddings")) >= 0.9
 
 
+def test_neighbours_of_any_kind_of_vectors(spark):
+    """Tight clusters, lengths far apart, a common part, and copies: what the codes cannot tell apart is still found, equal to brute force."""
+    r = np.random.default_rng(9)
+    n, w = 800, 16
+    kinds = {
+        "clusters": r.normal(size=(2, w))[r.integers(0, 2, n)] + 0.001 * r.normal(size=(n, w)),
+        "lengths": r.normal(size=(n, w)) * np.exp(3 * r.normal(size=(n, 1))),
+        "common": r.normal(size=(n, w)) + 300,
+        "copies": r.normal(size=(n, w))[np.minimum(r.integers(0, n, n), 40)],
+        "huge": r.normal(size=(n, w)) * 1e30,
+    }
+    for kind, x in kinds.items():
+        x = x.astype("f4").astype("f8")
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+        got = {}
+        for row in neighbours.search(df, sample=200).orderBy("query_id", "rank").collect():
+            got.setdefault(row["query_id"], []).append((row["vec_id"], row["score"]))
+        for q in range(0, n, 20):
+            s = np.zeros(n)
+            for d in range(w):
+                s += x[:, d] * x[q, d]
+            s[q] = -np.inf
+            assert got[q] == [(k, s[k]) for k in np.lexsort((np.arange(n), -s))[:20]], (kind, q)
+
+
 def test_units_hold_every_list():
     for sizes in ({0: 5, 1: 90, 3: 250, 4: 1, 5: 1}, {7: 1}, {}):
         place = neighbours.units(sizes, 100)
