@@ -122,6 +122,22 @@ def test_clip_tokens_deal_each_token_once(spark, tmp_path):
     assert shuffled(spark, lambda: registry.queries()["M1_clip_tokens"](spark, str(tmp_path)).collect()) < 60 * 3000
 
 
+def test_rows_of_clip_tokens_come_in_order(spark, tmp_path):
+    """The clips of a token stand together by their time, so that copies take little room where they are written."""
+    from itertools import groupby
+
+    from talkweave.plans import registry
+
+    events(spark, str(tmp_path), 3000, 500)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = [(r["token"], r["start"]) for r in registry.queries()["M1_clip_tokens"](spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    runs = [(token, [s for _, s in rows]) for token, rows in groupby(got, lambda r: r[0])]
+    assert len(runs) == len({token for token, _ in runs}) > 1000 and all(s == sorted(s, reverse=True) for _, s in runs)
+
+
 def test_intersection_deals_events_few_times(spark, tmp_path):
     from talkweave.plans import registry
 
